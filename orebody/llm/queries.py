@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orebody.llm import leakage, mixing, neardup, proportions
+from orebody.llm import leakage, mixing, neardup, neighbours, proportions
 from orebody.llm._util import table
 
 
@@ -79,3 +79,28 @@ r as (select distinct doc_id, n, list_aggregate(w[p : p + n - 1], 'string_agg',
 select distinct doc_id, item_id from r join q using (n, g)
 """,
 }
+
+
+def p6_found(spark, d):
+    return neighbours.similar_pairs(table(spark, d, "points")).select("chunk_a_id", "chunk_b_id")
+
+
+def p6_links(spark, d):
+    """The 5 most similar of every 50th id, over all rows; the ratio alone decides how many lists are opened."""
+    points = table(spark, d, "points")
+    asked = points.where("id % 50 = 0").select("id").distinct()
+    found = neighbours.VectorIndex(points, copies=4, copy_ratio=1.2).neighbours(5, asked, open_lists=neighbours.MAX_LISTS, ratio=1.18)
+    return found.select("id", F.col("neighbour").alias("linked_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+QUERIES |= {f.__name__: f for f in (p6_found, p6_links)}
+_DOT = "list_inner_product({0}::double[], {1}::double[])"
+_VECTORS = f"select id, embedding::double[] as e, sqrt({_DOT.format('embedding', 'embedding')}) as m from ({_CURRENT}) where len(embedding) = 96 and {_DOT.format('embedding', 'embedding')} > 0"
+ORACLES |= {
+    "p6_found": f"""
+with v as ({_VECTORS}),
+s as (select a.id as x, b.id as y, {_DOT.format('a.e', 'b.e')} / (a.m * b.m) as s from v a, v b where a.id <> b.id and {_DOT.format('a.e', 'b.e')} / (a.m * b.m) >= 0.95),
+r as (select x, y, row_number() over (partition by x order by s desc, y) as r from s)
+select distinct least(x, y) as chunk_a_id, greatest(x, y) as chunk_b_id from r where r <= 5
+""",
+}
