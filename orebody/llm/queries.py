@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orebody.llm import leakage, mixing, neardup, neighbours, proportions
+from orebody.llm import grouping, leakage, mixing, neardup, neighbours, proportions
 from orebody.llm._util import table
 
 
@@ -104,3 +104,28 @@ r as (select x, y, row_number() over (partition by x order by s desc, y) as r fr
 select distinct least(x, y) as chunk_a_id, greatest(x, y) as chunk_b_id from r where r <= 5
 """,
 }
+
+
+def p3_found(spark, d):
+    return grouping.grouped_points(table(spark, d, "points"))
+
+
+def p3_clusters(spark, d):
+    found = grouping.Clusters(table(spark, d, "points")).describe()
+    return found.select("group_id", "size", F.round("coherence", 4).alias("coherence"), "centroid", "typical_ids")
+
+
+def p3_members(spark, d):
+    return grouping.Clusters(table(spark, d, "points")).member_lists()
+
+
+QUERIES |= {f.__name__: f for f in (p3_found, p3_clusters, p3_members)}
+ORACLES |= {
+    "p3_found": f"""
+with recursive v as ({_VECTORS}),
+s as (select a.id as x, b.id as y from v a, v b where a.id <> b.id and {_DOT.format('a.e', 'b.e')} / (a.m * b.m) >= 0.80),
+walk(id, other) as (select id, id from v union select w.id, s.y from walk w join s on w.other = s.x),
+g as (select id, min(other) as group_id, count(*) as n from walk group by id)
+select group_id, id from g where n >= 5
+""",
+}
