@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orebody.llm import grouping, leakage, mixing, neardup, neighbours, proportions
+from orebody.llm import grouping, leakage, mixing, neardup, neighbours, proportions, repetition, variety
 from orebody.llm._util import table
 
 
@@ -129,3 +129,27 @@ g as (select id, min(other) as group_id, count(*) as n from walk group by id)
 select group_id, id from g where n >= 5
 """,
 }
+
+
+def p2_subset(spark, d):
+    return variety.varied_subset(table(spark, d, "points"))
+
+
+def p9_found(spark, d):
+    return repetition.repetitive(table(spark, d, "documents"))
+
+
+def p9_perplexity(spark, d):
+    found = repetition.judged(table(spark, d, "documents"))
+    return found.select("doc_id", "lang", "n_words", F.round("perplexity", 3).alias("perplexity"), F.round("repeated_share", 6).alias("repeated_share"), "verdict")
+
+
+QUERIES |= {f.__name__: f for f in (p2_subset, p9_found, p9_perplexity)}
+ORACLES |= {
+    "p9_found": f"""
+with d as (select doc_id, {_WORDS.format('text')} as w from documents where text is not null),
+r as (select doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 30)),
+c as (select doc_id, g, count(*) as n from r group by doc_id, g)
+select doc_id from c group by doc_id having sum(case when n > 1 then n else 0 end) >= 0.3 * sum(n)
+""",
+}

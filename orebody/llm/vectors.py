@@ -60,8 +60,8 @@ def usable_rows(column) -> np.ndarray:
     return ok
 
 
-def current_codes(points: DataFrame) -> DataFrame:
-    """``(id, seq, h1, h2, code)`` of the current points with usable embedding.
+def current_codes(points: DataFrame, *extra: str) -> DataFrame:
+    """``(id, seq, h1, h2, code, *extra)``, extra columns of strings, of the current points with usable embedding.
 
     Codes are made in the scan, so that the choice of the current rows shuffles them and not the vectors.
     h1 and h2 are digests of the stored vector. An unusable current row hides an older usable one.
@@ -74,11 +74,12 @@ def current_codes(points: DataFrame) -> DataFrame:
             codes = binary(encode(unit(x)))
             at = np.cumsum(ok) - 1
             code = codes.take(pa.array(np.where(ok, at, 0), mask=~ok)) if len(codes) else pa.nulls(len(ok), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), code], ["id", "seq", "h1", "h2", "code"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), code, *(b.column(5 + i) for i in range(len(extra)))], ["id", "seq", "h1", "h2", "code", *extra])
 
     arrays = ("embedding",)
-    rows = points.select("id", "seq", stored_digest("embedding", seed=1, arrays=arrays).alias("h1"), stored_digest("embedding", seed=2, arrays=arrays).alias("h2"), F.col("embedding").cast("array<float>"))
-    coded = rows.where("id is not null").mapInArrow(run, "id long, seq long, h1 long, h2 long, code binary")
+    rows = points.select("id", "seq", stored_digest("embedding", seed=1, arrays=arrays).alias("h1"), stored_digest("embedding", seed=2, arrays=arrays).alias("h2"), F.col("embedding").cast("array<float>"), *extra)
+    schema = "id long, seq long, h1 long, h2 long, code binary" + "".join(f", {n} string" for n in extra)
+    coded = rows.where("id is not null").mapInArrow(run, schema)
     return materialise(latest_rows(coded).where("code is not null"), "codes")
 
 
