@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.llm._util import DIM
-from orebody.llm.neighbours import _blocks, _sizes
+from orebody.llm.neighbours import BLOCK, _blocks
 from orebody.llm.vectors import current_codes, decode, exact_similarities
 from orebody.operators.components import connected_components
 from orebody.workspace import materialise
@@ -240,7 +240,7 @@ class Clusters:
         stand = self.spark.sparkContext.broadcast(known)
 
         def explain(batches):
-            """(comp, id, code, root): root is the representative that explains the row there, or null."""
+            """Per row its components, in each the representative that explains it (NONE if none does), and its links."""
             for b in batches:
                 for i in range(0, b.num_rows, 4096):
                     part = b.slice(i, 4096)
@@ -261,31 +261,44 @@ class Clusters:
                         root[s:e][any_], has[s:e] = r_root[near[any_].argmax(axis=1)], any_
                         m, h = np.nonzero(near)
                         edges.append(np.unique(np.stack([ids[row[s:e]][m], r_root[h]], axis=1), axis=0))
-                    at = pa.array(row)
                     links = np.concatenate(edges)
                     links = links[links[:, 0] != links[:, 1]]
-                    n = len(links)
-                    first = pa.RecordBatch.from_arrays([pa.array(comp.astype(np.int32)), part.column(0).take(at), part.column(1).take(at), pa.array(root, mask=~has), pa.nulls(len(row), pa.int64())], ["list", "id", "code", "root", "b"])
-                    yield first
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.array(links[:, 0]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(links[:, 1])], ["list", "id", "code", "root", "b"])
-
-        placed = materialise(self.codes.select("id", "code").mapInArrow(explain, "list int, id long, code binary, root long, b long"), "placed")
-        cells = placed.where("list >= 0").select("list", "id", "code", "root")
+                    by_row = np.argsort(row, kind="stable")
+                    lists = _list_array(row[by_row], part.num_rows, pa.array(comp[by_row].astype(np.int32)))
+                    roots = _list_array(row[by_row], part.num_rows, pa.array(np.where(has, root, NONE)[by_row]))
+                    tied = np.searchsorted(ids[by_id := np.argsort(ids, kind="stable")], links[:, 0])
+                    owner = by_id[tied] if len(links) else tied
+                    order = np.argsort(owner, kind="stable")
+                    joined = _list_array(owner[order], part.num_rows, pa.array(links[order, 1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, roots, joined], ["id", "code", "lists", "roots", "links"])
+
+        # one row an id, so that its code is written once; it is repeated per component only on the way to the blocks
+        placed = materialise(self.codes.select("id", "code").mapInArrow(explain, "id long, code binary, lists array<int>, roots array<long>, links array<long>"), "placed")
+        cells = placed.select("id", "code", F.explode(F.arrays_zip("lists", "roots")).alias("at")).select(F.col("at.lists").alias("list"), "id", "code", F.col("at.roots").alias("root"))
+        narrow = cells.select("list", "id", "root")
         # where one representative explains most rows of a component, only the other rows ask
-        counts = cells.where("root is not null").groupBy("list", "root").count()
+        counts = narrow.where(F.col("root") != NONE).groupBy("list", "root").count()
         main = counts.groupBy("list").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        asked = cells.join(F.broadcast(main), "list", "left").where(F.col("root").isNull() | (F.col("root") != F.col("main"))).drop("main")
-        members, asking = _sizes(cells, k), _sizes(asked, k)
-        columns = ["list", "block", "q_block", "asks", "id", "code"]
-        left = _blocks(self._with_root(cells), "block", "q_block", members, asking, k).withColumn("asks", F.lit(False))
-        right = _blocks(self._with_root(asked), "q_block", "block", asking, members, k).withColumn("asks", F.lit(True))
+        cells = cells.join(F.broadcast(main), "list", "left").withColumn("asks", (F.col("root") == NONE) | F.coalesce(F.col("root") != F.col("main"), F.lit(True))).drop("main")  # main: at most MAX_COMPONENTS rows
+        flags = narrow.join(F.broadcast(main), "list", "left").select("list", ((F.col("root") == NONE) | F.coalesce(F.col("root") != F.col("main"), F.lit(True))).alias("asks"))
+        members, asking = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        for r in flags.groupBy("list").agg(F.count("*"), F.sum(F.col("asks").cast("int"))).collect():  # at most MAX_COMPONENTS rows
+            members[r[0]], asking[r[0]] = r[1], r[2]
+        cells = cells.select("list", "id", _appended("code", F.col("root")).alias("code"), "asks")
+        split = [int(i) for i in np.flatnonzero((members > BLOCK) | (asking > BLOCK))]
+        is_split = F.col("list").isin(split) if split else F.lit(False)
+        columns = ["list", "block", "q_block", "asks", "member", "id", "code"]
+        # in a component of one block a row is sent once and is both sides; a split one has its two sides apart
+        whole = cells.where(~is_split).withColumns({"block": F.lit(0), "q_block": F.lit(0), "member": F.lit(True)})
+        left = _blocks(cells.where(is_split), "block", "q_block", members, asking, k).withColumns({"asks": F.lit(False), "member": F.lit(True)})
+        right = _blocks(cells.where(is_split & F.col("asks")), "q_block", "block", asking, members, k).withColumns({"asks": F.lit(True), "member": F.lit(False)})
 
         def compare(table: pa.Table) -> pa.Table:
             asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
             ids, raw = table.column("id").to_numpy(zero_copy_only=False), table.column("code").to_pylist()
             root = np.array([int.from_bytes(r[-8:], "little", signed=True) for r in raw])
             x, lost = decode([r[:-8] for r in raw])
-            q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+            q, m = np.flatnonzero(asks), np.flatnonzero(table.column("member").to_numpy(zero_copy_only=False).astype(bool))
             sure, maybe = [], []
             for i in range(0, len(q), 512):
                 own = q[i : i + 512]
@@ -312,11 +325,12 @@ class Clusters:
                 "sure": pa.array(np.r_[np.ones(len(tied), bool), np.zeros(len(u), bool)].astype(bool)),
             })
 
-        found = left.select(columns).unionByName(right.select(columns)).groupBy("list", "block", "q_block").applyInArrow(compare, "a long, b long, sure boolean")
+        sides = whole.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns))
+        found = sides.groupBy("list", "block", "q_block").applyInArrow(compare, "a long, b long, sure boolean")
         found = materialise(found, "links")
         copies = self.codes.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
         copies = self.codes.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select(F.col("id").alias("a"), "b")
-        edges = placed.where("list < 0").select(F.col("id").alias("a"), "b").unionByName(found.where("sure").select("a", "b")).unionByName(copies)
+        edges = placed.select(F.col("id").alias("a"), F.explode("links").alias("b")).unionByName(found.where("sure").select("a", "b")).unionByName(copies)
         labels = materialise(connected_components(edges), "labels")
         # pairs too close to call matter only between two groups
         one, two = (labels.select(F.col("id").alias(n), F.col("component").alias(f"g_{n}")) for n in ("a", "b"))
@@ -328,11 +342,6 @@ class Clusters:
         joined = whole.join(merged.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
         return materialise(joined.select("id", F.coalesce("top", "component").alias("component")), "labels")
 
-    @staticmethod
-    def _with_root(cells: DataFrame) -> DataFrame:
-        """The root behind the code, so that it travels with it."""
-        return cells.select("list", "id", _appended("code", F.coalesce("root", F.lit(NONE))).alias("code"))
-
     def members(self) -> DataFrame:
         """``(group_id, id)``: a row for each point of each group of at least min_size; group_id is its smallest id."""
         large = self.labels.groupBy(F.col("component").alias("group_id")).agg(F.count("*").alias("n")).where(F.col("n") >= self.min_size)
@@ -380,6 +389,11 @@ class Clusters:
 NONE = -(2**63)
 
 
+def _list_array(row: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """Values in order of their rows as one list a row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
+
+
 def _appended(code: str, number):
     """The 8 bytes of a whole number, least first, behind a binary column."""
     hex_ = F.lpad(F.hex(number), 16, "0")
