@@ -20,17 +20,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.llm._util import DIM
-from orebody.llm.neighbours import BLOCK, _blocks
+from orebody.llm.neighbours import _blocks
 from orebody.llm.vectors import current_codes, decode, exact_similarities
 from orebody.operators.components import connected_components
 from orebody.workspace import materialise
 
 FEATURES = 32
-FIT_ROUNDS = 4
+FIT_ROUNDS = 3
 MAX_COMPONENTS = 2048
 START_ROWS = 16_384
 SHRINK = 40.0
 REPRESENTATIVES = 8
+CELL_ROWS = 8192
 SIMILARITY, MIN_SIZE = 0.8, 5
 SEED = 41
 
@@ -102,8 +103,8 @@ def _start(base: tuple, f: np.ndarray, k: int) -> Mixture:
 def fit_mixture(codes: DataFrame, rows: int, rounds: int = FIT_ROUNDS) -> Mixture:
     """The mixture with the least information criterion; every pass covers all rows.
 
-    Only where EM starts from comes from a sample, of at most START_ROWS rows. Sizes tried: a quarter, a
-    half and all of the square root of the number of rows, at most MAX_COMPONENTS.
+    Only where EM starts from comes from a sample, of at most START_ROWS rows. Sizes tried: half,
+    all and twice the square root of the number of rows, at most MAX_COMPONENTS.
     """
     spark = codes.sparkSession
 
@@ -121,7 +122,7 @@ def fit_mixture(codes: DataFrame, rows: int, rounds: int = FIT_ROUNDS) -> Mixtur
     x = decode([r[0] for r in sample])[0]
     f = ((x - base[0]) @ base[1]).astype(np.float32)
     root = min(math.isqrt(rows) + 1, MAX_COMPONENTS, len(f))
-    models = [_start(base, f, k) for k in sorted({max(1, root // 4), max(1, root // 2), root})]
+    models = [_start(base, f, k) for k in sorted({max(1, root // 2), root, min(2 * root, MAX_COMPONENTS, len(f))})]
     shape = [(len(g.weight), FEATURES) for g in models]
     width = sum(k * (1 + 2 * d) + 1 for k, d in shape)
     for _ in range(rounds):
@@ -285,13 +286,13 @@ class Clusters:
         for r in flags.groupBy("list").agg(F.count("*"), F.sum(F.col("asks").cast("int"))).collect():  # at most MAX_COMPONENTS rows
             members[r[0]], asking[r[0]] = r[1], r[2]
         cells = cells.select("list", "id", _appended("code", F.col("root")).alias("code"), "asks")
-        split = [int(i) for i in np.flatnonzero((members > BLOCK) | (asking > BLOCK))]
+        split = [int(i) for i in np.flatnonzero((members > CELL_ROWS) | (asking > CELL_ROWS))]
         is_split = F.col("list").isin(split) if split else F.lit(False)
         columns = ["list", "block", "q_block", "asks", "member", "id", "code"]
         # in a component of one block a row is sent once and is both sides; a split one has its two sides apart
         whole = cells.where(~is_split).withColumns({"block": F.lit(0), "q_block": F.lit(0), "member": F.lit(True)})
-        left = _blocks(cells.where(is_split), "block", "q_block", members, asking, k).withColumns({"asks": F.lit(False), "member": F.lit(True)})
-        right = _blocks(cells.where(is_split & F.col("asks")), "q_block", "block", asking, members, k).withColumns({"asks": F.lit(True), "member": F.lit(False)})
+        left = _blocks(cells.where(is_split), "block", "q_block", members, asking, k, CELL_ROWS).withColumns({"asks": F.lit(False), "member": F.lit(True)})
+        right = _blocks(cells.where(is_split & F.col("asks")), "q_block", "block", asking, members, k, CELL_ROWS).withColumns({"asks": F.lit(True), "member": F.lit(False)})
 
         def compare(table: pa.Table) -> pa.Table:
             asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)

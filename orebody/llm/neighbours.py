@@ -160,10 +160,10 @@ def _sizes(routed: DataFrame, lists: int) -> np.ndarray:
     return out
 
 
-def _blocks(df: DataFrame, own: str, other: str, own_n, other_n, lists: int) -> DataFrame:
+def _blocks(df: DataFrame, own: str, other: str, own_n, other_n, lists: int, rows: int = BLOCK) -> DataFrame:
     """Rows of one side with (block of this side, block of the other side): bounded groups, hot lists split."""
     spark = df.sparkSession
-    splits = [(i, max(1, math.ceil(own_n[i] / BLOCK)), max(1, math.ceil(other_n[i] / BLOCK))) for i in range(lists) if own_n[i] > BLOCK or other_n[i] > BLOCK]
+    splits = [(i, max(1, math.ceil(own_n[i] / rows)), max(1, math.ceil(other_n[i] / rows))) for i in range(lists) if own_n[i] > rows or other_n[i] > rows]
     table = F.broadcast(spark.createDataFrame(splits or [(-1, 1, 1)], "list int, own_blocks int, other_blocks int"))  # at most MAX_LISTS rows
     df = df.join(table, "list", "left")
     mine = F.pmod(F.xxhash64("id"), F.coalesce("own_blocks", F.lit(1))).cast("int").alias(own)
