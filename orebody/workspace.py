@@ -8,6 +8,8 @@ and a lost executor costs only its running tasks.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,6 +47,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it isn't installed: by path in local mode, else as a zip file."""
+    context, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.basename(root) == "site-packages":
+        return
+    if context.master.startswith("local["):
+        known = context.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+    elif not getattr(context, "_orebody_shipped", False):
+        name = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="orebody-"), "orebody"), "zip", root, os.path.basename(os.path.dirname(os.path.abspath(__file__))))
+        context.addPyFile(name)
+        context._orebody_shipped = True
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
