@@ -2,18 +2,281 @@
 
 from __future__ import annotations
 
-from orebody.operators import incremental
+from pyspark.sql import functions as F
+
+from orebody.functions.columns import layer_category, source_category, usable
+from orebody.functions.vectors import coherence_band, link_type, normalised
+from orebody.functions.vocabulary import DEFAULT
+from orebody.operators import anomalies, cluster, incremental, reasoning, relations, report, sampling, taxonomy
+from orebody.operators.current import latest_rows
+from orebody.sources import payload
+from orebody.workspace import materialise
+
+EPSILON = 0.1
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _points(spark, d):
+    """Current points with source and layer as categories."""
+    now = latest_rows(table(spark, d, "points"))
+    return now.withColumns({"source": source_category(), "layer": layer_category()})
+
+
+def _vectors(spark, d):
+    return _points(spark, d).where(usable())
+
+
+def _clusters(spark, d):
+    return table(spark, d, "clusters").where("cluster_id is not null")
+
+
+def _members(spark, d):
+    """(cluster_id, id, ...): current points with usable vectors in the stored member lists, each id of a list once."""
+    ids = _clusters(spark, d).select("cluster_id", F.explode(F.array_distinct("vector_ids")).alias("id"))
+    return ids.join(_vectors(spark, d), "id")
+
+
 def p4_found(spark, d):
     return incremental.due_points(table(spark, d, "points"), table(spark, d, "processed_points"), table(spark, d, "excavation_runs"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found,)}
+def s_collection_size(spark, d):
+    return _points(spark, d).agg(F.count("*").alias("points"), F.sum(usable().cast("long")).alias("usable"))
+
+
+def s_extract(spark, d):
+    """The first 500 points by id: a limit is the feature."""
+    return _points(spark, d).orderBy("id").limit(500).select("id", "source", "layer", "fragment")
+
+
+def s_unprocessed(spark, d):
+    return payload.unprocessed(_points(spark, d), table(spark, d, "processed_points")).select("id")
+
+
+def s_cut(spark, d):
+    return _points(spark, d).select("id", payload.cut(F.col("fragment"), 120).alias("short"))
+
+
+def s_mean_vector(spark, d):
+    """Mean of the centroids of each stored source, number by number."""
+    long = cluster.centroids_long(_clusters(spark, d).where("source is not null"), "centroid", "source")
+    return long.select("source", F.col("pos").cast("long").alias("pos"), (F.round("value", 5) + 0.0).alias("value"))
+
+
+def sample_random(spark, d):
+    return sampling.random_sample(_points(spark, d).select("id", "source"), 400)
+
+
+def sample_stratified(spark, d):
+    return sampling.stratified_sample(_points(spark, d).select("id", "source"), 400)
+
+
+def sample_proportional(spark, d):
+    return sampling.stratified_sample(_points(spark, d).select("id", "source"), 400, allocation="proportional")
+
+
+def sample_temporal(spark, d):
+    return sampling.temporal_sample(_points(spark, d).select("id", "arrived_at"), 5, "arrived_at").select("id")
+
+
+def sample_diverse(spark, d):
+    return sampling.diverse_sample(_vectors(spark, d).select("id", "embedding"), 100).select("id")
+
+
+def v_pairs(spark, d):
+    """Cosine of all pairs of centroids, and what it is called."""
+    pairs = relations.cluster_pairs(_clusters(spark, d))
+    return pairs.select("cluster_a", "cluster_b", F.round("similarity", 5).alias("similarity"), link_type("similarity").alias("link_type"))
+
+
+def v_normalised(spark, d):
+    n = _vectors(spark, d).select("id", F.posexplode(normalised("embedding")).alias("pos", "x"))
+    return n.groupBy("pos").agg(F.round(F.avg("x"), 5).alias("mean")).select(F.col("pos").cast("long").alias("pos"), "mean")
+
+
+def c_dbscan(spark, d):
+    rows = _vectors(spark, d).select("id", normalised("embedding").alias("v"))
+    return cluster.dbscan(rows, EPSILON, 3, "v")
+
+
+def c_analysis(spark, d):
+    """Reduce to 50 numbers, cluster and describe all current points; eigenvectors have no SQL."""
+    members = cluster.cluster_members(_vectors(spark, d).select("id", "embedding", "source", "layer"), 0.15, 5)
+    found = cluster.describe_clusters(members)
+    return found.select("cluster_id", "label", "source", "size", F.round("density", 4).alias("density"), F.round("coherence", 4).alias("coherence"))
+
+
+def c_centroids(spark, d):
+    return cluster.centroids_long(_members(spark, d)).select("cluster_id", F.col("pos").cast("long").alias("pos"), (F.round("value", 5) + 0.0).alias("value"))
+
+
+def c_coherence(spark, d):
+    m = materialise(_members(spark, d).select("cluster_id", "id", "embedding"), "members")
+    both = cluster.coherence(m).join(cluster.density(m), "cluster_id")
+    return both.select("cluster_id", "size", F.round("coherence", 5).alias("coherence"), F.round("density", 5).alias("density"), coherence_band("coherence").alias("band"))
+
+
+def c_labels(spark, d):
+    return cluster.dominant_label(_members(spark, d))
+
+
+def b_bridges(spark, d):
+    found = relations.bridges(relations.cluster_pairs(_clusters(spark, d)))
+    return found.select("cluster_a", "cluster_b", F.round("strength", 5).alias("strength"), "link_type")
+
+
+def b_moats(spark, d):
+    found = relations.moats(relations.cluster_pairs(_clusters(spark, d)))
+    return found.select("cluster_a", "cluster_b", F.round("distance", 5).alias("distance"))
+
+
+def b_links(spark, d):
+    pairs = table(spark, d, "bridges").select(F.least("cluster_a", "cluster_b").alias("cluster_a"), F.greatest("cluster_a", "cluster_b").alias("cluster_b")).distinct()
+    found = relations.sample_links(pairs, _members(spark, d))
+    return found.select("cluster_a", "cluster_b", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+def b_support(spark, d):
+    return relations.with_support(table(spark, d, "bridges"), 0.7).groupBy("support").agg(F.count("*").alias("bridges"))
+
+
+def b_crosscheck(spark, d):
+    return relations.crosscheck(table(spark, d, "bridges"), 0.7)
+
+
+def b_strongest(spark, d):
+    return relations.strongest(table(spark, d, "bridges").select("cluster_a", "cluster_b", "strength").distinct())
+
+
+def b_widest(spark, d):
+    return relations.widest(table(spark, d, "moats").select("cluster_a", "cluster_b", "distance").distinct())
+
+
+def a_findings(spark, d):
+    found = anomalies.all_findings(_clusters(spark, d), table(spark, d, "bridges"), materialise(_members(spark, d).select("cluster_id", "source"), "members"))
+    return found.select("type", "cluster_id", "subject", F.round("measure", 5).alias("measure"), "detail", "requires_review")
+
+
+def a_scores(spark, d):
+    clusters = _clusters(spark, d)
+    found = anomalies.low_coherence(clusters).unionByName(anomalies.unusual_density(clusters)).unionByName(anomalies.orphans(clusters, table(spark, d, "bridges")))
+    scored = found.join(clusters.select("cluster_id", "coherence", "density"), "cluster_id")
+    return scored.select("type", "cluster_id", F.round(anomalies.anomaly_score(), 5).alias("score"))
+
+
+def t_documents(spark, d):
+    found = taxonomy.classify(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", "topic", "mode", "posture", F.round("confidence", 5).alias("confidence"))
+
+
+def t_fragments(spark, d):
+    found = taxonomy.classify(_points(spark, d).select("id", "fragment"), "fragment")
+    return found.groupBy("topic", "mode", "posture").agg(F.count("*").alias("points"))
+
+
+def t_clusters(spark, d):
+    found = taxonomy.classify_clusters(_clusters(spark, d), _members(spark, d))
+    return found.select("cluster_id", "taxonomy.topic", "taxonomy.mode", "taxonomy.epistemic_posture", "taxonomy.source_family", "taxonomy.label_warning")
+
+
+def t_query(spark, d):
+    return _clusters(spark, d).where(taxonomy.matches(mode="Scholarly_Annotation") | taxonomy.matches(mismatch=True)).select("cluster_id")
+
+
+def t_families(spark, d):
+    return _clusters(spark, d).select("cluster_id", taxonomy.source_family("label").alias("family"))
+
+
+def q_search(spark, d):
+    clusters, bridges = _clusters(spark, d), table(spark, d, "bridges")
+    return report.search(clusters, bridges, anomalies.orphans(clusters, bridges), "SURFACE").select("kind", "title")
+
+
+def q_listed(spark, d):
+    clusters = _clusters(spark, d)
+    return report.listed(clusters, "density", False, anomalies.unusual_density(clusters)).select("cluster_id", "density")
+
+
+def q_titles(spark, d):
+    return report.titled(table(spark, d, "moats").select("cluster_a", "distance"), _clusters(spark, d), "cluster_a")
+
+
+def q_summary(spark, d):
+    clusters = _clusters(spark, d)
+    return report.summary(clusters, table(spark, d, "bridges"), table(spark, d, "moats"), anomalies.low_coherence(clusters))
+
+
+def q_finding_members(spark, d):
+    found = anomalies.low_coherence(_clusters(spark, d)).select(F.concat_ws("-", "type", "cluster_id").alias("finding_id"), "type", F.array("cluster_id").alias("clusters"))
+    return report.finding_members(found, _members(spark, d))
+
+
+def r_snippets(spark, d):
+    found = reasoning.snippets(_members(spark, d))
+    return found.select("cluster_id", F.posexplode("snippets").alias("pos", "snippet"))
+
+
+def r_prompts(spark, d):
+    return reasoning.bridge_prompts(table(spark, d, "bridges")).select("cluster_a", "cluster_b", "prompt")
+
+
+def r_conclusions(spark, d):
+    """The offline reasoner's conclusions about the strongest bridges."""
+    chains = reasoning.reasoned(reasoning.bridge_prompts(relations.strongest(table(spark, d, "bridges"))), reasoning.OfflineReasoner())
+    return chains.select("cluster_a", "cluster_b", reasoning.conclusion("reasoning_chain").alias("conclusion"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p4_found, s_collection_size, s_extract, s_unprocessed, s_cut, s_mean_vector, sample_random, sample_stratified, sample_proportional, sample_temporal, sample_diverse,
+        v_pairs, v_normalised, c_dbscan, c_analysis, c_centroids, c_coherence, c_labels, b_bridges, b_moats, b_links, b_support, b_crosscheck, b_strongest, b_widest,
+        a_findings, a_scores, t_documents, t_fragments, t_clusters, t_query, t_families, q_search, q_listed, q_titles, q_summary, q_finding_members, r_snippets, r_prompts, r_conclusions,
+    )
+}
+
+# SQL in pieces
+
+_CATEGORY = "case when {0} is null or trim({0}) = '' then '{1}' else lower(trim({0})) end"
+_ROWS = f"""select * replace ({_CATEGORY.format('source', 'unknown')} as source, {_CATEGORY.format('layer', 'surface')} as layer)
+from (select *, row_number() over (partition by id order by seq desc) as rn from points where id is not null) where rn = 1"""
+_DOT = "list_inner_product({0}::double[], {1}::double[])"
+_USABLE = f"len(embedding) = 96 and {_DOT.format('embedding', 'embedding')} > 0"
+_COSINE = f"{_DOT.format('{0}', '{1}')} / (sqrt({_DOT.format('{0}', '{0}')}) * sqrt({_DOT.format('{1}', '{1}')}))"
+_MEMBERS = f"select i.cluster_id, c.* from (select distinct cluster_id, unnest(vector_ids) as id from clusters where cluster_id is not null) i join ({_ROWS}) c on i.id = c.id where {_USABLE}"
+_PAIRS = f"select a.cluster_id as cluster_a, b.cluster_id as cluster_b, {_COSINE.format('a.centroid', 'b.centroid')} as similarity from clusters a, clusters b where a.cluster_id < b.cluster_id"
+_LINK = "case when {0} > 0.7 then 'strong_semantic' when {0} > 0.5 then 'moderate_bridge' when {0} > 0.3 then 'weak_connection' else 'isolated' end"
+_LONG = "select cluster_id, id, embedding, unnest(embedding)::double as x, unnest(range(0, 96)) as pos from m"
+_CENTROIDS = f"select cluster_id, list(value order by pos) as centroid from (select cluster_id, pos, avg(x) as value from ({_LONG}) group by all) group by cluster_id"
+_HITS = "len(list_filter(sample_links, lambda l: l.similarity >= 0.7))"
+_SOURCES = f"select cluster_id, source, count(*) as n from ({_MEMBERS}) group by all"
+
+
+def _order(seed: int = 42) -> str:
+    return f"md5('{seed}:' || id), id"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _classified(rows: str, key: str, text: str) -> str:
+    """SQL of the classifier from its vocabulary: a row per key with topic, mode, posture, confidence."""
+    parts, thresholds = [], taxonomy.THRESHOLDS
+    for axis in ("topic", "mode", "posture"):
+        score = [(c, " + ".join(f"case when contains(t, {_quoted(p)}) then {w} else 0 end" for p, w in s)) for c, s in DEFAULT[axis].items()]
+        every = ", ".join(f"{{'s': {s}, 'c': {_quoted(c)}}}" for c, s in score)
+        parts.append(f"{axis} as (select {key}, list(e order by e.s desc, e.c) as o from (select {key}, unnest([{every}]) as e from texts) group by {key})")
+    pick = lambda a: f"case when {a}.o[1].s >= {thresholds[a][0]} then {a}.o[1].c else '{thresholds[a][1]}' end"
+    sure = lambda a: f"case when {a}.o[1].s >= {thresholds[a][0]} then ({a}.o[1].s - {a}.o[2].s)::double / ({a}.o[1].s::double + 1e-9) else 0 end"
+    return f"""
+with texts as (select {key}, lower(coalesce({text}, '')) as t from ({rows})), {', '.join(parts)}
+select topic.{key} as {key}, {pick('topic')} as topic, {pick('mode')} as mode, {pick('posture')} as posture, round(({sure('topic')} + {sure('mode')} + {sure('posture')}) / 3, 5) as confidence
+from topic join mode using ({key}) join posture using ({key})"""
+
 
 ORACLES = {
     "p4_found": """
@@ -24,4 +287,69 @@ was as (select * from (select p.*, row_number() over (partition by p.id) as r fr
 select cur.id from cur left join was on cur.id = was.id
 where was.id is null or cur.embedding is distinct from was.embedding or cur.fragment is distinct from was.fragment or cur.source is distinct from was.source or cur.layer is distinct from was.layer
 """,
+    "s_collection_size": f"select count(*) as points, sum(case when {_USABLE} then 1 else 0 end)::bigint as usable from ({_ROWS})",
+    "s_extract": f"select id, source, layer, fragment from ({_ROWS}) order by id limit 500",
+    "s_unprocessed": f"select id from ({_ROWS}) where id not in (select id from processed_points where id is not null)",
+    "s_cut": f"select id, case when length(fragment) > 120 then substr(fragment, 1, 117) || '...' else fragment end as short from ({_ROWS})",
+    "s_mean_vector": "select source, pos, round(avg(x), 5) + 0.0 as value from (select source, unnest(centroid)::double as x, unnest(range(0, 96)) as pos from clusters where source is not null and cluster_id is not null) group by all",
+    "sample_random": f"select id, source from ({_ROWS}) order by {_order()} limit 400",
+    "sample_stratified": f"select id, source from (select id, source, row_number() over (partition by source order by {_order()}) as r from ({_ROWS})) where r <= 400 // (select count(distinct source) from ({_ROWS}))",
+    "sample_proportional": f"select id, source from (select id, source, row_number() over (partition by source order by {_order()}) as r, count(*) over (partition by source) as n, count(*) over () as total from ({_ROWS})) where r <= floor(n * 400 / total + 0.5)",
+    "sample_temporal": f"select id from (select id, row_number() over (partition by time_bucket(interval 1 day, arrived_at, timestamp '1970-01-01') order by {_order()}) as r from ({_ROWS}) where arrived_at is not null) where r <= 5",
+    "v_pairs": f"select cluster_a, cluster_b, round(similarity, 5) as similarity, {_LINK.format('similarity')} as link_type from ({_PAIRS})",
+    "v_normalised": f"select pos, round(avg(x / m), 5) as mean from (select sqrt({_DOT.format('embedding', 'embedding')}) as m, unnest(embedding)::double as x, unnest(range(0, 96)) as pos from ({_ROWS}) where {_USABLE}) group by pos",
+    "c_centroids": f"with m as ({_MEMBERS}) select cluster_id, pos, round(avg(x), 5) + 0.0 as value from ({_LONG}) group by all",
+    "c_coherence": f"""
+with m as ({_MEMBERS}), c as ({_CENTROIDS}), s as (select cluster_id, count(*) as size, avg({_COSINE.format('embedding', 'centroid')}) as coherence, 1 / (1 + avg(list_distance(embedding::double[], centroid))) as density from m join c using (cluster_id) group by cluster_id)
+select cluster_id, size, round(coherence, 5) as coherence, round(density, 5) as density, case when coherence >= 0.7 then 'high' when coherence >= 0.4 then 'mid' else 'low' end as band from s
+""",
+    "c_labels": f"""
+with m as ({_MEMBERS}), l as (select *, row_number() over (partition by cluster_id order by n desc, layer) as r from (select cluster_id, layer, count(*) as n from m group by all)), s as (select *, row_number() over (partition by cluster_id order by n desc, source) as r from (select cluster_id, source, count(*) as n from m group by all))
+select cluster_id, layer || ' / ' || source as label, layer, source from l join s using (cluster_id) where l.r = 1 and s.r = 1
+""",
+    "b_bridges": f"select cluster_a, cluster_b, round(similarity, 5) as strength, {_LINK.format('similarity')} as link_type from ({_PAIRS}) where similarity > 0.3",
+    "b_moats": f"select cluster_a, cluster_b, round(1 - similarity, 5) as distance from ({_PAIRS}) where similarity < 0.1",
+    "b_links": f"""
+with m as (select * from (select *, row_number() over (partition by cluster_id order by id) as r from ({_MEMBERS})) where r <= 50),
+p as (select distinct least(cluster_a, cluster_b) as cluster_a, greatest(cluster_a, cluster_b) as cluster_b from bridges),
+s as (select p.*, {_COSINE.format('a.embedding', 'b.embedding')} as similarity, a.id as x, b.id as y from p join m a on a.cluster_id = p.cluster_a join m b on b.cluster_id = p.cluster_b)
+select cluster_a, cluster_b, r::int as rank, round(similarity, 5) as similarity from (select *, row_number() over (partition by cluster_a, cluster_b order by similarity desc, x, y) as r from s) where r <= 5
+""",
+    "b_support": f"select case when sample_links is null or len(sample_links) = 0 then 'no_chunk_evidence' when {_HITS} = 0 then 'semantic_only' when {_HITS} = 1 then 'weak_topological' when {_HITS} <= 3 then 'moderate_topological' else 'strong_topological' end as support, count(*) as bridges from bridges group by support",
+    "b_crosscheck": f"select count(*) as total, coalesce(sum(case when {_HITS} > 0 then 1 else 0 end), 0)::bigint as supported, coalesce(sum(case when {_HITS} > 0 then 0 else 1 end), 0)::bigint as semantic_only, coalesce(avg(case when {_HITS} > 0 then 1.0 else 0.0 end), 0)::double as ratio from bridges",
+    "b_strongest": "select distinct cluster_a, cluster_b, strength from bridges order by strength desc, cluster_a, cluster_b limit 10",
+    "b_widest": "select distinct cluster_a, cluster_b, distance from moats order by distance desc, cluster_a, cluster_b limit 5",
+    "a_findings": f"""
+with c as (select * from clusters where cluster_id is not null), s as ({_SOURCES}),
+k as (select cluster_id, count(*) as k, max(n) / sum(n) as top, max_by(source, (n, source)) as s, string_agg(source, ', ' order by source) as names from s group by cluster_id),
+f as (select 'coherence_anomaly' as type, cluster_id, label, coherence as measure, '' as detail, false as review from c where coherence < 0.5
+union all select 'density_anomaly', cluster_id, label, density, case when density < 0.3 then 'low' else 'high' end, false from c where density < 0.3 or density > 0.95
+union all select 'orphan_cluster', cluster_id, label, null, '', false from c where cluster_id not in (select cluster_a from bridges where cluster_a is not null union select cluster_b from bridges where cluster_b is not null)
+union all select 'source_contradiction', cluster_id, label, k, names, false from c join k using (cluster_id) where coherence > 0.8 and k > 3
+union all select 'label_mismatch', cluster_id, label, null, taxonomy.label_warning, true from c where coalesce(taxonomy.label_warning, '') <> ''
+union all select 'source_oversampling', cluster_id, label, top, s, top > 0.9 from c join k using (cluster_id) where k >= 2 and top > 0.7
+union all select 'summary_template_artifact', cluster_id, label, null, taxonomy.topic, false from c where taxonomy.mode = 'meta_descriptive_summary' and taxonomy.topic not in ('', 'general') and contains(lower(label), split_part(taxonomy.topic, '_', 1))
+union all select 'embedding_bias_suspected', cluster_id, label, density, s, false from c join k using (cluster_id) where density > 0.95 and k = 1)
+select type, cluster_id, label as subject, round(measure, 5) as measure, detail, review as requires_review from f
+""",
+    "a_scores": """
+select 'coherence_anomaly' as type, cluster_id, round(1 - coherence, 5) as score from clusters where coherence < 0.5
+union all select 'density_anomaly', cluster_id, round(abs(density - 0.7), 5) from clusters where density < 0.3 or density > 0.95
+union all select 'orphan_cluster', cluster_id, 0.9 from clusters where cluster_id is not null and cluster_id not in (select cluster_a from bridges where cluster_a is not null union select cluster_b from bridges where cluster_b is not null)
+""",
+    "t_documents": _classified("select * from documents", "doc_id", "text"),
+    "t_fragments": f"select topic, mode, posture, count(*) as points from ({_classified(_ROWS, 'id', 'fragment')}) group by all",
+    "t_query": "select cluster_id from clusters where cluster_id is not null and (lower(taxonomy.mode) = 'scholarly_annotation' or coalesce(taxonomy.label_warning, '') <> '')",
+    "t_families": "select cluster_id, case when contains(label, ' / ') then trim(substr(label, instr(label, ' / ') + 3)) else label end as family from clusters where cluster_id is not null",
+    "q_search": """
+with o as (select label from clusters where cluster_id is not null and cluster_id not in (select cluster_a from bridges where cluster_a is not null union select cluster_b from bridges where cluster_b is not null))
+select 'cluster' as kind, label as title from clusters where cluster_id is not null and contains(lower(label), 'surface')
+union all select 'bridge', t from (select 'Cluster ' || cluster_a || ' ↔ ' || cluster_b || ' (' || link_type || ')' as t from bridges) where contains(lower(t), 'surface')
+union all select 'anomaly', label from o where contains(lower(label), 'surface')
+""",
+    "q_listed": "select cluster_id, density from clusters where density < 0.3 or density > 0.95",
+    "q_titles": "select m.cluster_a, m.distance, coalesce(c.label, '#' || m.cluster_a) as title from moats m left join clusters c on m.cluster_a = c.cluster_id",
+    "q_summary": "select (select count(*) from clusters where cluster_id is not null) as clusters, (select count(*) from bridges) as bridges, (select count(*) from moats) as moats, (select count(*) from clusters where coherence < 0.5) as anomalies",
+    "q_finding_members": f"select 'coherence_anomaly-' || m.cluster_id as finding_id, m.id as member_id from ({_MEMBERS}) m join clusters c using (cluster_id) where c.coherence < 0.5",
+    "r_prompts": "select cluster_a, cluster_b, printf('Bridge: %d ↔ %d, strength %.2f (%s)', cluster_a, cluster_b, strength, link_type) as prompt from bridges",
 }
