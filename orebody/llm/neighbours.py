@@ -4,8 +4,10 @@ Centroids are fitted on a bounded sample, split and merged until the lists are b
 put into the list of its nearest centroid, and as a boundary vector into further lists whose centroid is
 nearly as near and not better covered by one already taken. A query finds near centroids by best-first
 search in a graph of centroids and opens those whose distance is within a ratio of the nearest. Lists and
-queries meet in blocks of bounded size, compared by matrix products of codes; the best candidates are
-ranked again by exact cosine in double. Identical vectors are one class and searched once.
+queries meet in blocks of bounded size, compared by matrix products of codes. Whatever the error bound of
+the codes leaves possible among the k best stays a candidate and is ranked by exact cosine in double;
+queries with many such rows are ranked in their block on the stored vectors. Identical vectors are one
+class and searched once.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebody.llm.vectors import current_codes, decode, exact_similarities
+from orebody.llm._util import DIM, unit
+from orebody.llm.vectors import current_codes, decode, exact_similarities, stored_vectors
 from orebody.workspace import materialise
 
 FIT_ROWS = 16_384
 LIST_ROWS = 384
 MAX_LISTS = 16_384
 BLOCK = 4096
+MANY = 256
 SEED = 31
 
 
@@ -170,6 +174,33 @@ def _blocks(df: DataFrame, own: str, other: str, own_n, other_n, lists: int, row
     return df.select("list", "id", "code", mine, F.explode(F.sequence(F.lit(0), F.coalesce("other_blocks", F.lit(1)) - 1)).alias(other))
 
 
+def possible(s: np.ndarray, error: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """Which columns of each row may be among its k greatest and reach the floor, if ``s`` is off by at most ``error``."""
+    high = s + error
+    ok = high >= floor
+    many = np.flatnonzero(ok.sum(axis=1) > k)
+    if len(many):
+        low = s[many] - error[many]
+        ok[many] &= high[many] >= np.partition(low, low.shape[1] - k, axis=1)[:, -k, None]
+    return ok
+
+
+def exact_best(q_ids: np.ndarray, q: np.ndarray, m_ids: np.ndarray, m: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine) of the k most similar members of each query, in double, ties to the smaller id."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for i in range(0, len(q), 512):
+        own = q_ids[i : i + 512]
+        s = q[i : i + 512] @ m.T
+        s[own[:, None] == m_ids[None, :]] = -3
+        r, c = np.nonzero(possible(s, np.full_like(s, 1e-12), k, floor))
+        value = np.concatenate([np.empty(0)] + [np.einsum("ij,ij->i", q[i + r[j : j + BLOCK]], m[c[j : j + BLOCK]]) for j in range(0, len(r), BLOCK)])
+        order = np.lexsort((m_ids[c], -value, r))
+        r, c, value = r[order], c[order], value[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((own[r[best]], m_ids[c[best]], value[best]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class VectorIndex:
     """Index over the current usable vectors of ``points``; every row is indexed.
 
@@ -199,38 +230,64 @@ class VectorIndex:
         members, asking = _sizes(postings, self.lists), _sizes(asked, self.lists)
         left = _blocks(postings, "block", "q_block", members, asking, self.lists).withColumn("asks", F.lit(False))
         right = _blocks(asked, "q_block", "block", asking, members, self.lists).withColumn("asks", F.lit(True))
-        keep = 4 * k
-
-        def compare(pdf_iter):
-            for table in pdf_iter:
-                asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-                ids, (x, lost) = table.column("id").to_numpy(zero_copy_only=False), decode(table.column("code").to_pylist())
-                m, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-                for i in range(0, len(q), 512):
-                    own = q[i : i + 512]
-                    if not len(m):
-                        break
-                    s = x[own] @ x[m].T
-                    s[ids[own][:, None] == ids[m][None, :]] = -3
-                    if s.shape[1] > keep:
-                        top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                        value = np.take_along_axis(s, top, axis=1)
-                    else:
-                        top, value = np.broadcast_to(np.arange(s.shape[1]), s.shape), s
-                    floor = -2.5 if min_similarity is None else min_similarity - (lost[own][:, None] + lost[m[top]]) * 1.05
-                    r, c = np.nonzero(value >= floor)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own[r]]), pa.array(ids[m[top[r, c]]]), pa.array(value[r, c])], ["q", "c", "about"])
-
-        def group(table: pa.Table) -> pa.Table:
-            out = list(compare([table]))
-            return pa.Table.from_batches(out, schema=pa.schema([("q", pa.int64()), ("c", pa.int64()), ("about", pa.float32())]))
+        floor = -2.5 if min_similarity is None else min_similarity
+        # without a floor far lists give many rows, of which the best of all lists spare most
+        most = MANY if min_similarity is None else 4 * k
+        names = ["list", "block", "q_block", "q", "c", "low", "high"]
+
+        def group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            """Pairs with bounds; rows without c are queries with too many, rows without q what these need."""
+            asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            ids, (x, lost) = table.column("id").to_numpy(zero_copy_only=False), decode(table.column("code").to_pylist())
+            m, q = np.flatnonzero(~asks), np.flatnonzero(asks)
+            pairs, left_over, needed = [], [], np.zeros(len(m), bool)
+            for i in range(0, len(q) if len(m) else 0, 512):
+                own = q[i : i + 512]
+                s = x[own] @ x[m].T
+                s[ids[own][:, None] == ids[m][None, :]] = -3
+                error = (lost[own][:, None] + lost[m][None, :]) * np.float32(1.05) + np.float32(1e-5)
+                ok = possible(s, error, k, floor)
+                over = ok.sum(axis=1) > most
+                needed |= ok[over].any(axis=0)
+                left_over.append(ids[own[over]])
+                r, c = np.nonzero(ok & ~over[:, None])
+                pairs.append((ids[own[r]], ids[m[c]], s[r, c] - error[r, c], s[r, c] + error[r, c]))
+            both = [np.concatenate(v) for v in zip(*pairs)] if pairs else [np.empty(0, np.int64)] * 2 + [np.empty(0, np.float32)] * 2
+            over, need = np.concatenate([np.empty(0, np.int64), *left_over]), ids[m[needed]]
+            n = len(both[0]) + len(over) + len(need)
+            cells = [pa.array(np.full(n, v.as_py(), np.int32)) for v in key]
+            qs = pa.concat_arrays([pa.array(both[0]), pa.array(over), pa.nulls(len(need), pa.int64())])
+            cs = pa.concat_arrays([pa.array(both[1]), pa.nulls(len(over), pa.int64()), pa.array(need)])
+            bounds = [pa.concat_arrays([pa.array(v.astype(np.float64)), pa.nulls(len(over) + len(need), pa.float64())]) for v in both[2:]]
+            return pa.Table.from_arrays([*cells, qs, cs, *bounds], names)
 
         columns = ["list", "block", "q_block", "asks", "id", "code"]
-        found = left.select(columns).unionByName(right.select(columns)).groupBy("list", "block", "q_block").applyInArrow(group, "q long, c long, about float")
+        schema = "list int, block int, q_block int, q long, c long, low double, high double"
+        found = materialise(left.select(columns).unionByName(right.select(columns)).groupBy("list", "block", "q_block").applyInArrow(group, schema), "found")
+        pairs = found.where("q is not null and c is not null").select("q", "c", "low", "high")
+        crowded = found.where("q is null or c is null")
+        if not crowded.isEmpty():
+            pairs = pairs.unionByName(self._crowded(crowded, k, floor))
         if min_similarity is None:
-            found = found.distinct()
-            found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("about"), "c"))).where(F.col("r") <= keep)
-        return materialise(found.select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b")).distinct(), "candidates")
+            pairs = pairs.groupBy("q", "c").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+            ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "c")))
+            least = F.max(F.when(F.col("r") == k, F.col("low"))).over(Window.partitionBy("q"))
+            pairs = ranked.withColumn("least", least).where("least is null or high >= least")
+        return materialise(pairs.select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b")).distinct(), "candidates")
+
+    def _crowded(self, crowded: DataFrame, k: int, floor: float) -> DataFrame:
+        """``(q, c, low, high)``: the k best of a block by exact cosine, for its queries whose codes leave too many possible."""
+        rows = crowded.select("list", "block", "q_block", F.col("q").isNotNull().alias("asks"), F.coalesce("q", "c").alias("id"))
+        stored = stored_vectors(self.points, self.codes, materialise(rows.select("id").distinct(), "crowded"))
+
+        def rank(table: pa.Table) -> pa.Table:
+            asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            ids = table.column("id").to_numpy(zero_copy_only=False)
+            x = unit(np.asarray(table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, DIM))
+            q, c, value = exact_best(ids[asks], x[asks], ids[~asks], x[~asks], k, floor - 1e-9)
+            return pa.table({"q": q, "c": c, "low": value - 1e-9, "high": value + 1e-9})
+
+        return rows.join(stored, "id").groupBy("list", "block", "q_block").applyInArrow(rank, "q long, c long, low double, high double")
 
     def neighbours(self, k: int = 5, queries: DataFrame | None = None, open_lists: int = 6, ratio: float = 1.15, min_similarity: float | None = None) -> DataFrame:
         """The k most similar other points of each query id (all points if None), if given those of ``min_similarity`` or more."""

@@ -134,14 +134,19 @@ def only_ids(df: DataFrame, ids: DataFrame, expected: int, max_bits: int = 27) -
     return df.mapInArrow(keep, df.schema)
 
 
-def exact_similarities(points: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``similarity``: cosine in double of the stored vectors of the current rows."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+def stored_vectors(points: DataFrame, codes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(id, embedding)`` of the current rows of the ``wanted`` ids."""
     expected = wanted.count()
     now = codes.select("id", "seq").join(wanted, "id")
     rows = points.where("id is not null and embedding is not null").select("id", "seq", F.col("embedding").cast("array<float>").alias("embedding"))
     stored = only_ids(rows, wanted, expected).join(now, ["id", "seq"]).dropDuplicates(["id"]).select("id", "embedding")
-    stored = materialise(stored, "vectors")
+    return materialise(stored, "vectors")
+
+
+def exact_similarities(points: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``similarity``: cosine in double of the stored vectors of the current rows."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    stored = stored_vectors(points, codes, wanted)
     one, two = (stored.select(F.col("id").alias(x), F.col("embedding").alias(f"v_{x}")) for x in ("a", "b"))
     joined = pairs.join(one, "a").join(two, "b").select(*pairs.columns, "v_a", "v_b")
     kept = pairs.columns

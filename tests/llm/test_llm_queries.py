@@ -140,6 +140,36 @@ def test_index_of_equal_vectors(spark):
     assert found == {(min(i, j), max(i, j)) for i in range(8) for j in [k for k in range(8) if k != i][:5]}
 
 
+def _dense(spark, rows=380):
+    """A group of near-equal vectors, by ids; as a table and in double."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=96) * 14 + rng.normal(size=(rows, 96))
+    x = x.astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    return spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "id long, seq long, embedding array<float>"), best
+
+
+def test_dense_group_keeps_its_nearest(spark):
+    df, best = _dense(spark)
+    found = {(r.chunk_a_id, r.chunk_b_id) for r in neighbours.similar_pairs(df).collect()}
+    assert found == {(min(i, int(j)), max(i, int(j))) for i in range(len(best)) for j in best[i]}
+
+
+def test_dense_group_keeps_its_nearest_without_floor(spark):
+    df, best = _dense(spark)
+    found = {(r.id, r.rank): r.neighbour for r in neighbours.VectorIndex(df).neighbours(5, df.where("id % 20 = 0")).collect()}
+    assert found == {(i, r + 1): int(best[i, r]) for i in range(0, len(best), 20) for r in range(5)}
+
+
+def test_possible_keeps_what_the_error_allows():
+    s, error = np.array([[0.99, 0.98, 0.97, 0.5]]), np.full((1, 4), 0.006)
+    assert neighbours.possible(s, error, 1, 0.95).tolist() == [[True, True, False, False]]
+    assert neighbours.possible(s, error, 5, 0.955).tolist() == [[True, True, True, False]]
+
+
 def test_passages(spark):
     docs = spark.createDataFrame([(1, "zero " + " ".join(f"a{i}" for i in range(12)) + " end"), (2, " ".join(f"a{i}" for i in range(11))), (3, "b c"), (4, None), (5, "b, C!")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "x " + " ".join(f"A{i}" for i in range(12))), (2, "b c"), (3, ""), (4, "b c")], "item_id long, text string")
