@@ -35,7 +35,10 @@ U64 = np.uint64
 
 
 def shingle_sets(texts: DataFrame, shingle: int, min_words: int) -> DataFrame:
-    """``(id, class_hi, class_lo, n, shingles)``: sorted hashes of the distinct shingles of texts long enough."""
+    """``(id, class_hi, class_lo, words, n, shingles)``: sorted hashes of the distinct shingles of texts long enough.
+
+    ``words`` is a digest of the words in their order.
+    """
 
     def sets(batches):
         for b in batches:
@@ -52,13 +55,15 @@ def shingle_sets(texts: DataFrame, shingle: int, min_words: int) -> DataFrame:
             ends = np.r_[start[1:], len(owner)].astype(np.int64)
             raw = [xxhash.xxh3_128_digest(runs[s:e].tobytes()) for s, e in zip(start, ends)]
             pair = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+            begin = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+            words = np.array([xxhash.xxh3_64_intdigest(hashes[begin[i] : begin[i + 1]].tobytes()) for i in which], U64).view(np.int64)
             offsets = pa.array(np.r_[start, len(owner)].astype(np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(which)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array((ends - start).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(runs.view(np.int64)))],
-                ["id", "class_hi", "class_lo", "n", "shingles"],
+                [b.column(0).take(pa.array(which)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(words), pa.array((ends - start).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(runs.view(np.int64)))],
+                ["id", "class_hi", "class_lo", "words", "n", "shingles"],
             )
 
-    return texts.mapInArrow(sets, "id long, class_hi long, class_lo long, n int, shingles array<long>")
+    return texts.mapInArrow(sets, "id long, class_hi long, class_lo long, words long, n int, shingles array<long>")
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +241,7 @@ class NearDuplicates:
         self.sets = materialise(shingle_sets(texts.select(F.col("id").cast("long"), "text").where("text is not null"), shingle, max(min_words, shingle)), "shingles")
         classes = self.sets.groupBy("class_hi", "class_lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
         copied = classes.where("copies > 1")
-        self.members = materialise(self.sets.select("id", "class_hi", "class_lo").join(copied, ["class_hi", "class_lo"]).select("id", "rep", "copies"), "members")
+        self.members = materialise(self.sets.select("id", "class_hi", "class_lo", "words").join(copied, ["class_hi", "class_lo"]).select("id", "rep", "words", "copies"), "members")
         reps = self.sets.join(self.members.where("id <> rep").select("id"), "id", "left_anti")
         total = self.sets.agg(F.sum("n")).first()[0] or 0
         bits = min(max(math.ceil(math.log2(2 * total + 1)), SKETCH_BITS[0]), SKETCH_BITS[1])
@@ -254,16 +259,18 @@ class NearDuplicates:
     def text_pairs(self, star_above: int = STAR_ABOVE) -> DataFrame:
         """``(id_a, id_b, similarity)``, id_a < id_b: all pairs of texts, copies among them.
 
-        In a class of more than ``star_above`` copies the copies are paired with the smallest id only, and
-        that one stands for them in pairs with other classes; ``groups`` has the rest. Links between
-        different texts are never lost.
+        More than ``star_above`` copies of the same words are paired with their smallest id only, and that
+        one stands for them in all other pairs; ``groups`` has the rest. Links between different texts are
+        never lost, also where their shingle sets are equal.
         """
-        member = self.members.where(F.col("copies") <= star_above).select("rep", "id")
-        star = self.members.where((F.col("copies") > star_above) & (F.col("id") != F.col("rep")))
+        hot = self.members.where(F.col("copies") > star_above)
+        texts = hot.groupBy("rep", "words").agg(F.min("id").alias("first"), F.count("*").alias("same")).where(F.col("same") > star_above)
+        star = materialise(hot.join(texts, ["rep", "words"]).where(F.col("id") != F.col("first")).select("first", "id"), "star")
+        member = self.members.join(star.select("id"), "id", "left_anti").select("rep", "id")
         one, two = (member.select(F.col("rep").alias(x), F.col("id").alias(f"id_{x}")) for x in ("a", "b"))
         between = self.pairs.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"), "similarity")
         within = one.join(two.withColumnRenamed("b", "a"), "a").where("id_a < id_b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), F.lit(1.0).alias("similarity"))
-        copies = star.select(F.col("rep").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
+        copies = star.select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
         return between.unionByName(within).unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
     def groups(self) -> DataFrame:

@@ -133,6 +133,18 @@ def test_tiles_lose_no_pair():
     assert want <= {(max(p), min(p)) for p in zip(a.tolist(), b.tolist())} and want
 
 
+def test_only_copies_of_the_same_words_are_starred(spark):
+    """Texts that go round a circle of words have equal sets of runs, whatever their length."""
+    circle = lambda n: " ".join(f"w{i % 20}" for i in range(n))
+    texts = [(i, circle(22 + i)) for i in range(6)] + [(10 + i, circle(60)) for i in range(5)] + [(20, circle(22) + " x y z")]
+    found = neardup.NearDuplicates(spark.createDataFrame(texts, "id long, text string"), shingle=3, similarity=0.5, min_words=15)
+    every = [0, 1, 2, 3, 4, 5, 10, 20]  # ids 11 to 14 are copies of 10
+    want = {(a, b) for a in every for b in every if a < b} | {(10, i) for i in range(11, 15)}
+    pairs = [(r.id_a, r.id_b) for r in found.text_pairs(star_above=4).collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+    assert {(r.id_a, r.id_b) for r in found.text_pairs().collect()} == {(a, b) for a, _ in texts for b, _ in texts if a < b}
+
+
 def test_index_of_equal_vectors(spark):
     v = [1.0] + [0.0] * 95
     df = spark.createDataFrame([(i, i, v) for i in range(8)] + [(9, 9, [0.0] * 96), (10, 10, [None] * 96), (11, 11, []), (12, 12, None)], "id long, seq long, embedding array<float>")
