@@ -2,8 +2,8 @@
 
 Rows are spread by hash over parts of bounded size. Each part selects representatives greedily, each next
 one farthest from those it has; the parts' representatives are pooled and the selection runs again on the
-pool. A pool too large for one task is first divided into regions around far-apart pool members, each
-with its share of the places.
+pool. A pool too large for one task is first divided into about equally large regions; each is taken in
+farthest-first order, and the places go to the rows that were farthest when taken, over all regions.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebody.functions.columns import layer_category, source_category
+from orebody.llm._util import smallest_per_group
+from orebody.llm.neighbours import balanced_centroids
 from orebody.llm.vectors import current_codes, decode
 from orebody.workspace import materialise
 
@@ -26,6 +28,11 @@ SEED = 53
 
 def farthest_first(x: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     """Indices of ``size`` rows: ``first``, then again and again the row farthest from those taken; ties to the lower index."""
+    return farthest_order(x, first, size)[0]
+
+
+def farthest_order(x: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``farthest_first``, and how similar each row was to the nearest one taken before it: -2 for ``first``."""
     n = len(x)
     size = min(size, n)
     taken = list(dict.fromkeys(int(i) for i in first))[:size] or ([0] if size else [])
@@ -33,26 +40,28 @@ def farthest_first(x: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     for i in range(0, len(taken), 64):
         near = np.maximum(near, (x @ x[taken[i : i + 64]].T).max(axis=1))
     near[taken] = np.inf
+    at = [-2.0] * len(taken)
     while len(taken) < size:
         i = int(near.argmin())
         taken.append(i)
+        at.append(float(near[i]))
         np.maximum(near, x @ x[i], out=near)
         near[i] = np.inf
-    return np.array(taken, dtype=np.int64)
+    return np.array(taken, dtype=np.int64), np.array(at)
 
 
 def _select(rows: DataFrame) -> DataFrame:
-    """Farthest-first in each ``part`` of (part, size, must, id, code): the must rows and up to ``size`` in all."""
+    """``(id, nearest)``: farthest-first in each ``part`` of (part, size, must, id, code), the must rows and up to ``size`` in all."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         x = decode(table.column("code").to_pylist())[0]
         must = np.flatnonzero(table.column("must").to_numpy(zero_copy_only=False).astype(bool))
-        taken = farthest_first(x, must, max(int(table.column("size")[0].as_py()), len(must)))
-        return pa.table({"id": table.column("id").take(pa.array(taken)), "place": pa.array(np.arange(len(taken)))})
+        taken, nearest = farthest_order(x, must, max(int(table.column("size")[0].as_py()), len(must)))
+        return pa.table({"id": table.column("id").take(pa.array(taken)), "nearest": pa.array(np.where(np.isin(taken, must), -2.0, nearest))})
 
-    return rows.select("part", "size", "must", "id", "code").groupBy("part").applyInArrow(run, "id long, place long")
+    return rows.select("part", "size", "must", "id", "code").groupBy("part").applyInArrow(run, "id long, nearest double")
 
 
 def _of_each_category(rows: DataFrame, *group: str) -> DataFrame:
@@ -87,19 +96,36 @@ def varied_subset(points: DataFrame, share: float = 0.01) -> DataFrame:
     pool = pool.join(must, "id", "left").withColumn("must", F.coalesce("must", F.lit(False)))
     regions = max(1, math.ceil(pooled / (PART_ROWS // 2)))
     if regions == 1:
-        final = pool.withColumn("part", F.lit(0)).withColumn("size", F.lit(size))
+        chosen = _select(pool.withColumn("part", F.lit(0)).withColumn("size", F.lit(size)))
     else:
-        final = _regions(materialise(pool, "marked"), regions, size)
-    chosen = _select(final)
+        chosen = _over_regions(materialise(pool, "marked"), pooled, size)
     return rows.join(chosen.select("id"), "id").drop("code")
 
 
-def _regions(pool: DataFrame, regions: int, size: int) -> DataFrame:
-    """The pool with region as ``part`` (split where larger than PART_ROWS) and the region's places as ``size``."""
+def _over_regions(pool: DataFrame, pooled: int, size: int) -> DataFrame:
+    """``(id)``: the must rows and the rows farthest from what their region has, ``size`` in all.
+
+    A region that is too large for one task is taken in pieces by hash, which don't see each other. The
+    pool then only shrinks by a quarter and is taken again in other pieces, down to ``size``.
+    """
+    seed = SEED + 1
+    while True:
+        parts, pieces = _regions(pool, max(1, math.ceil(pooled / (PART_ROWS // 2))), seed)
+        picked = _select(parts.withColumn("size", F.lit(pooled))).withColumn("all", F.lit(0))
+        pooled = size if pieces == 1 else max(size, pooled * 3 // 4)
+        key = F.when(F.col("nearest") <= -2, 1e-9).otherwise(F.greatest(F.lit(2e-9), F.least(F.lit(1 - 1e-9), (F.col("nearest") + 1) / 2)))
+        picked = materialise(picked.withColumn("key", key).withColumn("quota", F.lit(pooled)), "picked")
+        chosen = materialise(smallest_per_group(picked, ["all"], "key", "quota").select("id"), "chosen")
+        if pooled == size:
+            return chosen
+        pool, seed = materialise(pool.join(chosen, "id"), "pool"), seed + 1
+
+
+def _regions(pool: DataFrame, regions: int, seed: int) -> tuple[DataFrame, int]:
+    """The pool with region as ``part`` (split where larger than PART_ROWS), and the most pieces of a region."""
     spark = pool.sparkSession
-    sample = pool.orderBy(F.xxhash64(F.lit(SEED + 1), "id"), "id").limit(PART_ROWS).select("code").collect()
-    x = decode([r[0] for r in sample])[0]
-    sent = spark.sparkContext.broadcast(x[farthest_first(x, np.array([0]), min(regions, 4096))])
+    sample = pool.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(16_384).select("code").collect()
+    sent = spark.sparkContext.broadcast(balanced_centroids(decode([r[0] for r in sample])[0], min(regions, 4096)))
 
     def nearest(batches):
         for b in batches:
@@ -110,14 +136,5 @@ def _regions(pool: DataFrame, regions: int, size: int) -> DataFrame:
     counts = {r[0]: r[1] for r in placed.groupBy("region").count().collect()}  # at most 4096 rows
     split = [(g, max(1, math.ceil(c / PART_ROWS))) for g, c in counts.items()]
     parts = placed.join(F.broadcast(spark.createDataFrame(split, "region int, pieces int")), "region")
-    parts = materialise(parts.select("id", (F.col("region") * 4096 + F.pmod(F.xxhash64("id"), F.col("pieces"))).alias("part")), "parts")
-    held = parts.join(pool.select("id", "must"), "id").groupBy("part").agg(F.count("*"), F.sum(F.col("must").cast("int")))
-    sizes = sorted(tuple(r) for r in held.collect())
-    # the must rows have places of their own, the rest is shared out by size
-    free, others = size - sum(m for _, _, m in sizes), max(1, sum(c - m for _, c, m in sizes))
-    exact = [free * (c - m) / others for _, c, m in sizes]
-    places = [int(e) for e in exact]
-    for i in sorted(range(len(sizes)), key=lambda i: places[i] - exact[i])[: free - sum(places)]:
-        places[i] += 1
-    quota = spark.createDataFrame([(p, q + m) for (p, _, m), q in zip(sizes, places)], "part long, size int")
-    return pool.join(parts, "id").join(F.broadcast(quota), "part")
+    part = F.col("region").cast("long") * (1 << 32) + F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("pieces"))
+    return pool.join(parts.select("id", part.alias("part")), "id"), max(n for _, n in split)

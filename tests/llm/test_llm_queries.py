@@ -121,6 +121,17 @@ def test_farthest_first_prefers_what_is_different():
     assert set(variety.farthest_first(x, np.array([0]), 4)) == {0, 4, 5, 6}
 
 
+def test_places_go_where_it_is_far_over_many_regions(spark, monkeypatch):
+    """A large group of similar points gets no places that far points need, however many parts send it."""
+    monkeypatch.setattr(variety, "PART_ROWS", 64)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.eye(96)[0] * 20 + rng.normal(size=(2_000, 96)), np.repeat(np.eye(96)[1:61], 3, axis=0) * 20 + rng.normal(size=(180, 96)) * 0.1])
+    df = spark.createDataFrame([(i, i, v.tolist(), "s", "l") for i, v in enumerate(x.astype(np.float32))], "id long, seq long, embedding array<float>, source string, layer string")
+    chosen = [r.id for r in variety.varied_subset(df, 0.1).collect()]
+    assert len(chosen) == len(set(chosen)) == 218
+    assert {(i - 2_000) // 3 for i in chosen if i >= 2_000} == set(range(60))
+
+
 def test_tiles_lose_no_pair():
     rng = np.random.default_rng(7)
     base = [set(rng.integers(0, 2**63, 40)) for _ in range(30)]
