@@ -84,6 +84,15 @@ def due_rows(now: DataFrame, saved: DataFrame, key: str = "id") -> DataFrame:
     return mine.join(theirs, key, "left").where(F.col("s1").isNull() | ~same).select(key)
 
 
+def due_since(now: DataFrame, tree: DataFrame, saved, depth: int, key: str = "id") -> DataFrame:
+    """``due_rows`` by a published tree of ``depth``: ``saved(leaves)`` gives the saved digests of changed leaves only."""
+    now = with_leaf(now, depth, key)
+    leaves = materialise(changed_leaves(build_tree(now, depth, key), tree, depth), "changed")
+    theirs = saved(leaves).select(key, F.col("h1").alias("s1"), F.col("h2").alias("s2"))
+    same = F.col("h1").eqNullSafe(F.col("s1")) & F.col("h2").eqNullSafe(F.col("s2"))
+    return now.join(leaves, "leaf", "left_semi").join(theirs, key, "left").where(F.col("s1").isNull() | ~same).select(key)
+
+
 def succeeded_stamps(stamps: DataFrame, runs: DataFrame) -> DataFrame:
     """``(id, seq)``: each id's greatest seq with a stamp of a succeeded attempt."""
     status = F.lower(F.regexp_replace("status", r"^\s+|\s+$", ""))
@@ -135,10 +144,20 @@ class MerkleStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/v{done[-1]}/digests")
 
+    def _due(self, digests: DataFrame, key: str) -> DataFrame:
+        done = self.versions()
+        if not done:
+            return digests.select(key)
+        tree = self.spark.read.parquet(f"{self.path}/v{done[-1]}/tree")
+        depth = tree.agg(F.max("level")).first()[0]
+        if depth is None:  # nothing was saved
+            return digests.select(key)
+        return due_since(digests, tree, lambda leaves: with_leaf(self.digests(digests.schema), depth, key).join(leaves, "leaf", "left_semi"), depth, key)
+
     def run(self, df: DataFrame, fields: list[str], work, key: str = "id") -> DataFrame:
         """Output of ``work`` over the due rows of ``df`` (one row a key)."""
         digests = materialise(row_digests(df, fields, key).where(F.col(key).isNotNull()), "digests")
-        due = due_rows(digests, self.digests(digests.schema), key)
+        due = self._due(digests, key)
         version = (self.versions() or [0])[-1] + 1
         hidden, final = f"{self.path}/.v{version}", f"{self.path}/v{version}"
         fs, path = self._fs()

@@ -120,6 +120,21 @@ def test_merkle_store_survives_a_failure(spark, tmp_path):
     assert sorted(r.id for r in store.run(changed, ["v"], lambda d: d).collect()) == [3, 50, 51]
 
 
+def test_merkle_store_descends_the_published_tree(spark, tmp_path):
+    """Saved digests of leaves whose published digests are equal aren't looked at."""
+    store = MerkleStore(spark, f"file://{tmp_path}/m")
+    df = spark.range(500).withColumn("v", F.lit("a"))
+    store.run(df.where("id < 0"), ["v"], lambda d: d)
+    assert store.run(df, ["v"], lambda d: d).count() == 500
+    done = f"{tmp_path}/m/v2/digests"
+    kept = spark.createDataFrame(spark.read.parquet(done).collect(), spark.read.parquet(done).schema)
+    kept.withColumn("h1", F.lit(0).cast("long")).write.mode("overwrite").parquet(done)
+    assert store.run(df, ["v"], lambda d: d).count() == 0
+    more = df.unionByName(spark.range(500, 3000).withColumn("v", F.lit("a"))).where("id <> 7")
+    assert sorted(r.id for r in store.run(more, ["v"], lambda d: d).collect()) == list(range(500, 3000))
+    assert store.run(more.where("id > 9"), ["v"], lambda d: d).count() == 0
+
+
 def test_diverse_sample_is_farthest_first(spark):
     x = np.random.default_rng(2).normal(size=(40, 3))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
