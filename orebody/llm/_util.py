@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,12 +50,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def smallest_per_group(df: DataFrame, group: list[str], key: str, quota: str, buckets: int = 512) -> DataFrame:
+def smallest_per_group(df: DataFrame, group: list[str], key: str, quota: str, rows: int) -> DataFrame:
     """Of each group the ``quota`` rows with the smallest ``key`` in (0, 1), ties by all columns; quota is a column of df.
 
     Counts by (group, bucket of the key) are aggregated before the shuffle, so a group with a third of
-    all rows is never in one task; only the one bucket in which the quota ends is ranked.
+    all rows is never in one task; only the one bucket in which the quota ends is ranked. Buckets grow
+    with ``rows``, the number of rows of df, so that one has about 4,096 rows where keys are even.
     """
+    buckets = max(512, math.ceil(rows / 4096))
     bucket = F.floor(F.col(key) * buckets)
     counted = df.withColumn("__b", bucket)
     sizes = counted.groupBy(*group, "__b").agg(F.count("*").alias("__n"))

@@ -1,4 +1,4 @@
-"""Samples whose category shares match given targets."""
+"""Samples whose category shares match given targets: raked weights, weighted exponential keys, repair."""
 
 from __future__ import annotations
 
@@ -50,118 +50,175 @@ def rake(counts: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], round
     return w
 
 
-def quotas(shares: np.ndarray, available: np.ndarray, size: int) -> np.ndarray:
-    """Whole rows per cell: size x share, largest remainders first, never more than there are.
+class Plan:
+    """One plan's targets over the cells (source, layer) of the collection: weights, and repair of a draw.
 
-    What a full cell can't give goes to the others in proportion to their shares.
+    Cells with the same source and layer in all targets are one cell, so there are few of them.
+    """
+
+    def __init__(self, targets: list, cells: list, total: int):
+        self.targets, self.cells, self.total = targets, cells, total
+        self.counts = np.array([c["n"] for c in cells], dtype=np.int64)
+        self.name, self.size = targets[0]["plan_name"], round(targets[0]["sample_share"] * total)
+        self.margins: list[tuple[np.ndarray, np.ndarray]] = []  # category of each cell (-1: none), share of each category
+        self.least: list[np.ndarray] = []  # rows each category must have
+        self.own: dict = {}
+        for pattern in sorted({(t["source"] is not None, t["layer"] is not None) for t in targets}):
+            of_pattern = [t for t in targets if (t["source"] is not None, t["layer"] is not None) == pattern]
+            place: dict = {}
+            for t in of_pattern:  # a category named twice is one category with the summed share
+                place.setdefault((t["source"], t["layer"]), len(place))
+            index = np.array([place.get((c["source"] if pattern[0] else None, c["layer"] if pattern[1] else None), -1) for c in cells], dtype=np.int64)
+            share, least = np.zeros(len(place)), np.zeros(len(place), np.int64)
+            for t in of_pattern:
+                at = place[t["source"], t["layer"]]
+                share[at] += t["target_share"]
+                least[at] = max(least[at], t["min_rows"])
+                self.own[t["target_id"]] = index == at
+            if share.sum() > 0:
+                share /= share.sum()
+            self.margins.append((index, share))
+            self.least.append(least)
+        fitted = rake(self.counts, [(i, s) for i, s in self.margins if s.sum() > 0]) if len(cells) else self.counts
+        #: Draw weight of a row of each cell.
+        self.weight = np.divide(fitted, self.counts, out=np.zeros(len(cells)), where=self.counts > 0)
+        self.size = int(min(self.size, self.counts[self.weight > 0].sum()))
+
+    def threshold(self) -> float:
+        """The key -ln(u) / weight below which the plan's size is expected to lie; it scales keys into (0, 1)."""
+        live = self.weight > 0
+        if not live.any() or not self.size:
+            return 1.0
+        low, high = 0.0, 1.0
+        expected = lambda t: (self.counts[live] * -np.expm1(-self.weight[live] * t)).sum()
+        while expected(high) < self.size - 1e-6 and high < 1e18:
+            high *= 2
+        for _ in range(100):
+            middle = (low + high) / 2
+            low, high = (middle, high) if expected(middle) < self.size else (low, middle)
+        return high
+
+    def _have(self, drawn: np.ndarray) -> list[np.ndarray]:
+        return [np.bincount(index[index >= 0], drawn[index >= 0], minlength=len(share)) for index, share in self.margins]
+
+    def repaired(self, drawn: np.ndarray) -> np.ndarray:
+        """The draw with rows moved between cells until no category lacks what other categories can spare.
+
+        First each category's ``min_rows``, then the whole rows of its share too. A move takes from a cell
+        whose categories have more than they need and gives to one with rows left; the size stays.
+        """
+        drawn = drawn.astype(np.int64).copy()
+        for shares in (False, True):
+            goals = []
+            for (index, share), least in zip(self.margins, self.least):
+                stock = np.bincount(index[index >= 0], self.counts[index >= 0], minlength=len(share))
+                goals.append(np.minimum(np.maximum(least, np.floor(share * self.size + 1e-9) if shares else 0), stock).astype(np.int64))
+            stuck: set = set()
+            while True:
+                have = self._have(drawn)
+                lack = [(int(goal[c] - h[c]), m, c) for m, (goal, h) in enumerate(zip(goals, have)) for c in range(len(goal)) if goal[c] > h[c] and (m, c) not in stuck]
+                if not lack:
+                    break
+                need, m, c = max(lack, key=lambda x: (x[0], -x[1], -x[2]))
+                takes = np.flatnonzero((self.margins[m][0] == c) & (self.counts > drawn))
+                gives = np.flatnonzero((self.margins[m][0] != c) & (drawn > 0))
+                room = np.minimum((self.counts - drawn)[takes][:, None], drawn[gives][None, :]).astype(np.float64)
+                for (index, _), goal, h in zip(self.margins, goals, have):
+                    spare = np.append(np.maximum(h - goal, 0), np.inf)[index[gives]]  # cells of no category give freely
+                    room = np.minimum(room, np.where(index[takes][:, None] == index[gives][None, :], np.inf, spare[None, :]))
+                most = int(min(room.max(initial=0), need))
+                if most <= 0:
+                    stuck.add((m, c))
+                    continue
+                # of the moves that can be made, the one between the cells that differ most from their weights
+                gap = (self.weight * self.counts * self.size - drawn)
+                score = np.where(room >= 1, gap[takes][:, None] - gap[gives][None, :], -np.inf)
+                r, d = np.unravel_index(int(score.argmax()), score.shape)
+                moved = int(min(room[r, d], need, max(1, abs(score[r, d]) // 2 if np.isfinite(score[r, d]) else 1)))
+                drawn[takes[r]] += moved
+                drawn[gives[d]] -= moved
+        return drawn
+
+    def report(self, drawn: np.ndarray) -> list[tuple]:
+        """A row of each target. ``unmet``: rows that lack even if the repair took all that the draw has left of the category."""
+        got, out = max(int(drawn.sum()), 1), []
+        for t in self.targets:
+            own = self.own[t["target_id"]]
+            need = max(float(t["min_rows"]), t["target_share"] * t["sample_share"] * self.total)
+            have, left = int(drawn[own].sum()), int((self.counts - drawn)[own].sum())
+            unmet = max(0.0, need - have - left)
+            out.append((t["target_id"], t["plan_name"], t["source"], t["layer"], float(t["target_share"]), have + left, have, need, unmet, have / got, have / got - t["target_share"], unmet <= 0))
+        return out
+
+
+REPORT = "target_id long, plan_name string, source string, layer string, target_share double, available long, drawn long, needed double, unmet double, actual_share double, gap double, met boolean"
+
+
+class ProportionalSample:
+    """A sample of the current points for each plan.
+
+    Row weights are raked over the plan's margins; the rows with the smallest weighted exponential keys
+    -ln(u) / weight are drawn, u from the id's hash, so a run can be repeated. Categories below their
+    minimum or below the whole rows of their share are then repaired: the draw goes on in them, and the
+    rows drawn last are given back in categories with more than their due. A plan without matching rows
+    draws none. Null categories are ``unknown`` and ``surface``; repeated deliveries count once; empty
+    tables give an empty result.
     """
-    out = np.zeros(len(shares))
-    left, open_ = float(min(size, available[shares > 0].sum())), (shares > 0) & (available > 0)
-    while left > 1e-9 and open_.any():
-        add = left * np.where(open_, shares, 0) / shares[open_].sum()
-        room = available - out
-        over = open_ & (add >= room)
-        if not over.any():
-            out += add
-            break
-        out = np.where(over, available, out)
-        left -= room[over].sum()
-        open_ &= ~over
-    whole = np.floor(out + 1e-9)
-    spare = int(round(min(size, available[shares > 0].sum()) - whole.sum()))
-    order = np.argsort(-(out - whole), kind="stable")
-    for i in order:
-        if spare <= 0:
-            break
-        if whole[i] < available[i] and shares[i] > 0:
-            whole[i] += 1
-            spare -= 1
-    return whole.astype(np.int64)
-
-
-def _plan_cells(targets: list, cells: list, total: int) -> tuple[list, list]:
-    """Quota of each cell (source, layer, plan) and a report row of each target of one plan."""
-    counts = np.array([c["n"] for c in cells], dtype=np.float64)
-    patterns = sorted({(t["source"] is not None, t["layer"] is not None) for t in targets})
-    margins, member = [], {}
-    for pattern in patterns:
-        own = [t for t in targets if (t["source"] is not None, t["layer"] is not None) == pattern]
-        place: dict = {}
-        for t in own:  # a category named twice is one category with the summed share
-            place.setdefault((t["source"], t["layer"]), len(place))
-        index = np.array([place.get((c["source"] if pattern[0] else None, c["layer"] if pattern[1] else None), -1) for c in cells], dtype=np.int64)
-        share = np.zeros(len(place))
-        for t in own:
-            share[place[t["source"], t["layer"]]] += t["target_share"]
-            member[t["target_id"]] = index == place[t["source"], t["layer"]]
-        if share.sum() > 0:
-            margins.append((index, share / share.sum()))
-    size = round(targets[0]["sample_share"] * total)
-    fitted = rake(counts, margins) if len(cells) else counts
-    drawn = quotas(fitted, counts, size)
-    for t in targets:  # minimums, as far as there are rows
-        own = member[t["target_id"]]
-        lack = int(min(t["min_rows"], counts[own].sum()) - drawn[own].sum())
-        for i in np.flatnonzero(own):
-            add = int(min(max(lack, 0), counts[i] - drawn[i]))
-            drawn[i] += add
-            lack -= add
-    got = max(int(drawn.sum()), 1)
-    report = []
-    for t in targets:
-        own = member[t["target_id"]]
-        need = max(float(t["min_rows"]), t["target_share"] * t["sample_share"] * total)
-        report.append((t["target_id"], t["plan_name"], t["source"], t["layer"], float(t["target_share"]), int(counts[own].sum()), int(drawn[own].sum()), need, float(drawn[own].sum() / got), float(drawn[own].sum() / got - t["target_share"]), bool(counts[own].sum() >= need)))
-    plan = targets[0]["plan_name"]
-    quota = [(plan, c["source"], c["layer"], int(q), float(f / n) if n else 0.0) for c, q, f, n in zip(cells, drawn, fitted, counts) if q > 0]
-    return quota, report
-
-
-REPORT = "target_id long, plan_name string, source string, layer string, target_share double, available long, drawn long, needed double, actual_share double, gap double, met boolean"
-
-
-def _prepare(points: DataFrame, sample_targets: DataFrame):
-    spark = points.sparkSession
-    now = materialise(current_categories(points), "categories")
-    targets = targets_of(sample_targets).orderBy("plan_name", "target_id").collect()  # as small as the list of targets
-    sources, layers = ({t[k] for t in targets if t[k] is not None} for k in ("source", "layer"))
-    # categories that no target names fall into one cell, so there are at most (targets + 1) squared cells
-    fold = lambda c, known: F.when(F.col(c).isin(*known), F.col(c)) if known else F.lit(None).cast("string")
-    folded = now.select("id", fold("source", sources).alias("source"), fold("layer", layers).alias("layer"))
-    cells = sorted(folded.groupBy("source", "layer").agg(F.count("*").alias("n")).collect(), key=lambda r: (r[0] or "", r[1] or ""))
-    total = sum(c["n"] for c in cells)
-    quota, report = [], []
-    for plan in sorted({t["plan_name"] for t in targets}):
-        q, r = _plan_cells([t for t in targets if t["plan_name"] == plan], cells, total)
-        quota, report = quota + q, report + r
-    quota_df = spark.createDataFrame(quota, "plan_name string, q_source string, q_layer string, quota long, weight double")
-    return now, folded, quota_df, spark.createDataFrame(report, REPORT)
+
+    def __init__(self, points: DataFrame, sample_targets: DataFrame, seed: int = SEED):
+        self.spark, self.seed = points.sparkSession, seed
+        self.now = materialise(current_categories(points), "categories")
+        targets = targets_of(sample_targets).orderBy("plan_name", "target_id").collect()  # as small as the list of targets
+        sources, layers = ({t[k] for t in targets if t[k] is not None} for k in ("source", "layer"))
+        # categories that no target names fall into one cell, so there are at most (targets + 1) squared cells
+        fold = lambda c, known: F.when(F.col(c).isin(*known), F.col(c)) if known else F.lit(None).cast("string")
+        self.folded = self.now.select("id", fold("source", sources).alias("source"), fold("layer", layers).alias("layer"))
+        cells = sorted(self.folded.groupBy("source", "layer").agg(F.count("*").alias("n")).collect(), key=lambda r: (r[0] or "", r[1] or ""))
+        self.total = sum(c["n"] for c in cells)
+        self.plans = [Plan([t for t in targets if t["plan_name"] == name], cells, self.total) for name in sorted({t["plan_name"] for t in targets})]
+        drawn = self._drawn()
+        self.final = {p.name: p.repaired(drawn[p.name]) for p in self.plans}
+
+    def _keyed(self, columns: str, rows: list[tuple]) -> DataFrame:
+        """Each row with its uniform number once for each plan that weighs its cell, and the plan's ``columns``."""
+        cells = self.spark.createDataFrame(rows, f"plan_name string, cell int, q_source string, q_layer string, {columns}")
+        on = F.col("source").eqNullSafe(F.col("q_source")) & F.col("layer").eqNullSafe(F.col("q_layer"))
+        joined = self.folded.join(F.broadcast(cells), on)  # plans times cells
+        return joined.select("plan_name", "cell", "id", unit_draw(self.seed, "plan_name", "id").alias("u"), *[c.split()[0] for c in columns.split(", ")])
+
+    def _drawn(self) -> dict[str, np.ndarray]:
+        """Rows of each cell among the ``size`` smallest keys of each plan."""
+        rows = [(p.name, i, c["source"], c["layer"], float(p.weight[i] * p.threshold()), p.size) for p in self.plans for i, c in enumerate(p.cells) if p.weight[i] > 0]
+        # t / (1 + t) keeps the order of the keys t and lies in (0, 1); half is where the draw is expected to end
+        t = -F.log("u") / F.col("scaled")
+        keyed = self._keyed("scaled double, size long", rows).withColumn("key", t / (1 + t)).drop("u", "scaled")
+        first = smallest_per_group(keyed, ["plan_name"], "key", "size", self.total)
+        out = {p.name: np.zeros(len(p.cells), np.int64) for p in self.plans}
+        for r in first.groupBy("plan_name", "cell").count().collect():  # plans times cells
+            out[r[0]][r[1]] = r[2]
+        return out
+
+    def report(self) -> DataFrame:
+        """Per target: rows available, needed and drawn, the rows that can't be had, the actual share, its gap, and whether the target is met."""
+        return self.spark.createDataFrame([row for p in self.plans for row in p.report(self.final[p.name])], REPORT)
+
+    def sample(self) -> DataFrame:
+        """``(plan_name, id, source, layer)``: of each cell the rows with the smallest keys, as many as the repaired draw has."""
+        rows = [(p.name, i, c["source"], c["layer"], int(self.final[p.name][i])) for p in self.plans for i, c in enumerate(p.cells) if self.final[p.name][i] > 0]
+        # within a cell all weights are equal, so -ln(u) orders its rows as the keys do
+        keyed = self._keyed("quota long", rows).withColumn("key", 1 - F.col("u")).drop("u")
+        chosen = smallest_per_group(keyed, ["plan_name", "cell"], "key", "quota", self.total)
+        return chosen.select("plan_name", "id").join(self.now, "id")
 
 
 def target_report(points: DataFrame, sample_targets: DataFrame) -> DataFrame:
-    """Per target: rows available, needed and drawn, the actual share, its gap, and whether the target is met."""
-    return _prepare(points, sample_targets)[3]
+    return ProportionalSample(points, sample_targets).report()
 
 
 def proportional_sample(points: DataFrame, sample_targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """``(plan_name, id, source, layer)``: for each plan the drawn current points.
-
-    Cell weights are raked over the plan's margins, cells get whole quotas, and within them the rows
-    with the smallest weighted exponential keys -ln(u) / weight are drawn, u from the id's hash, so a
-    run can be repeated. Minimums are repaired first from what the cells still hold. A plan without
-    matching rows draws none. Null categories are ``unknown`` and ``surface``; repeated deliveries
-    count once; empty tables give an empty result.
-    """
-    now, folded, quota, _ = _prepare(points, sample_targets)
-    drawn = folded.join(
-        F.broadcast(quota), F.col("source").eqNullSafe(F.col("q_source")) & F.col("layer").eqNullSafe(F.col("q_layer"))
-    ).select("plan_name", F.col("q_source"), F.col("q_layer"), "quota", "id", (-F.log(unit_draw(seed, "plan_name", "id")) / F.col("weight")).alias("raw"), "weight")
-    # the weight is the same in all of a cell, so the key's distribution function orders rows alike and lies in (0, 1)
-    drawn = drawn.withColumn("key", 1 - F.exp(-F.col("raw") * F.col("weight"))).drop("raw", "weight")
-    chosen = smallest_per_group(drawn, ["plan_name", "q_source", "q_layer"], "key", "quota")
-    return chosen.select("plan_name", "id").join(now, "id")
+    return ProportionalSample(points, sample_targets, seed).sample()
 
 
 def unmet_targets(points: DataFrame, sample_targets: DataFrame) -> DataFrame:
-    """``(target_id)`` whose category has fewer current points than the target needs."""
-    return target_report(points, sample_targets).where(~F.col("met")).select("target_id")
+    """``(target_id)`` of targets that the repaired sample can't meet, whatever is left of their category."""
+    return target_report(points, sample_targets).where("unmet > 0").select("target_id")

@@ -115,7 +115,7 @@ def _over_regions(pool: DataFrame, pooled: int, size: int) -> DataFrame:
         pooled = size if pieces == 1 else max(size, pooled * 3 // 4)
         key = F.when(F.col("nearest") <= -2, 1e-9).otherwise(F.greatest(F.lit(2e-9), F.least(F.lit(1 - 1e-9), (F.col("nearest") + 1) / 2)))
         picked = materialise(picked.withColumn("key", key).withColumn("quota", F.lit(pooled)), "picked")
-        chosen = materialise(smallest_per_group(picked, ["all"], "key", "quota").select("id"), "chosen")
+        chosen = materialise(smallest_per_group(picked, ["all"], "key", "quota", pooled).select("id"), "chosen")
         if pooled == size:
             return chosen
         pool, seed = materialise(pool.join(chosen, "id"), "pool"), seed + 1
