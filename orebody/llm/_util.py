@@ -35,6 +35,11 @@ def current_vectors(points: DataFrame, *extra: str, dim: int | None = DIM) -> Da
     return now.where(usable("embedding", dim)).select("id", "embedding", *extra)
 
 
+def hash_sample(df: DataFrame, rows: int, want: int, seed: int) -> DataFrame:
+    """About ``want`` of the ``rows`` rows of df, chosen by the hash of their id alone; all if there aren't more."""
+    return df if rows <= want else df.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) < F.lit(int(want / rows * (1 << 40))))
+
+
 def matrix(column) -> np.ndarray:
     """Rows of an Arrow list column as a float32 matrix."""
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column

@@ -3,10 +3,12 @@
 All rows are projected on the leading principal components of the whole collection and standardised. A
 mixture with diagonal covariances, shrunk to the pooled one, is fitted by expectation-maximisation over
 all rows, several sizes in the same passes; the Bayesian information criterion chooses the number of
-components. The members of highest density stand for a component. A row belongs to the components of
+components, and the chosen mixture is fitted until its likelihood hardly grows. Sizes grow with the square
+root of the rows. The members of highest density stand for a component. A row belongs to the components of
 highest posterior. Rows are linked to similar representatives first, then those that no representative of
 their component explains are compared with all rows of their components in blocks, and links are closed
 to groups. Codes decide where they can; pairs too close to the threshold are decided on the vectors.
+Similar rows that share no component can be missed; ``exact=True`` finds these too.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebody.llm._util import DIM
-from orebody.llm.neighbours import _blocks
-from orebody.llm.vectors import current_codes, decode, exact_similarities
+from orebody.llm._util import DIM, hash_sample, unit
+from orebody.llm.neighbours import _blocks, balanced_centroids
+from orebody.llm.vectors import current_codes, decode, exact_similarities, stored_vectors
 from orebody.operators.components import connected_components
 from orebody.workspace import materialise
 
 FEATURES = 32
-FIT_ROUNDS = 3
-MAX_COMPONENTS = 2048
-START_ROWS = 16_384
+CHOICE_ROUNDS, MAX_ROUNDS = 2, 8
+GAIN = 0.01  # of the log likelihood of a row, under which fitting ends
+START_ROWS, START_PER_COMPONENT = 16_384, 8
 SHRINK = 40.0
 REPRESENTATIVES = 8
 CELL_ROWS = 8192
@@ -36,14 +38,19 @@ SIMILARITY, MIN_SIZE = 0.8, 5
 SEED = 41
 
 
-def _total(df: DataFrame, partial, width: int, parts: int = 8) -> np.ndarray:
+def _chunk(components: int) -> int:
+    """Rows whose densities under all components are held at once."""
+    return min(4096, max(64, (1 << 23) // components))
+
+
+def _total(df: DataFrame, partial, width: int, parts: int = 8, step: int = 4096) -> np.ndarray:
     """Sum of a vector of doubles over all tasks: added up in ``parts`` tasks, then on the driver."""
 
     def run(batches):
         total = np.zeros(width)
         for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                total += partial(decode(b.column(0).slice(i, 4096))[0])
+            for i in range(0, b.num_rows, step):
+                total += partial(decode(b.column(0).slice(i, step))[0])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -64,6 +71,7 @@ class Mixture:
     centre: np.ndarray
     variance: np.ndarray
     bic: float = math.inf
+    likelihood: float = -math.inf
 
     def features(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) @ self.axes).astype(np.float32)
@@ -100,11 +108,13 @@ def _start(base: tuple, f: np.ndarray, k: int) -> Mixture:
     return blank.update(n.astype(np.float64), s.astype(np.float64), square)
 
 
-def fit_mixture(codes: DataFrame, rows: int, rounds: int = FIT_ROUNDS) -> Mixture:
+def fit_mixture(codes: DataFrame, rows: int) -> Mixture:
     """The mixture with the least information criterion; every pass covers all rows.
 
-    Only where EM starts from comes from a sample, of at most START_ROWS rows. Sizes tried: half,
-    all and twice the square root of the number of rows, at most MAX_COMPONENTS.
+    Only where EM starts from comes from a sample, of about START_ROWS rows or START_PER_COMPONENT for
+    each component where that is more. Sizes tried: half, all and twice the square root of the number of
+    rows. After CHOICE_ROUNDS the best goes on alone, until a round gains less than GAIN a row, or
+    MAX_ROUNDS are done.
     """
     spark = codes.sparkSession
 
@@ -118,14 +128,13 @@ def fit_mixture(codes: DataFrame, rows: int, rounds: int = FIT_ROUNDS) -> Mixtur
     values, vectors = np.linalg.eigh(m[DIM + 1 :].reshape(DIM, DIM) / n - np.outer(mean, mean))
     top = np.argsort(-values)[:FEATURES]
     base = (mean.astype(np.float32), (vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-9))).astype(np.float32))
-    sample = codes.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(START_ROWS).select("code").collect()
-    x = decode([r[0] for r in sample])[0]
-    f = ((x - base[0]) @ base[1]).astype(np.float32)
-    root = min(math.isqrt(rows) + 1, MAX_COMPONENTS, len(f))
-    models = [_start(base, f, k) for k in sorted({max(1, root // 2), root, min(2 * root, MAX_COMPONENTS, len(f))})]
-    shape = [(len(g.weight), FEATURES) for g in models]
-    width = sum(k * (1 + 2 * d) + 1 for k, d in shape)
-    for _ in range(rounds):
+    root = math.isqrt(rows) + 1
+    sample = sorted(hash_sample(codes.select("id", "code"), rows, max(START_ROWS, START_PER_COMPONENT * 2 * root), SEED).collect())
+    f = ((decode([r[1] for r in sample])[0] - base[0]) @ base[1]).astype(np.float32)
+    models = [_start(base, f, k) for k in sorted({max(1, min(k, len(f))) for k in (root // 2, root, 2 * root)})]
+    for turn in range(MAX_ROUNDS):
+        shape = [(len(g.weight), FEATURES) for g in models]
+        width = sum(k * (1 + 2 * d) + 1 for k, d in shape)
         sent = spark.sparkContext.broadcast(models)
 
         def expectation(x: np.ndarray) -> np.ndarray:
@@ -140,16 +149,22 @@ def fit_mixture(codes: DataFrame, rows: int, rounds: int = FIT_ROUNDS) -> Mixtur
                 out += [p.sum(axis=0, dtype=np.float64), (p.T @ f).astype(np.float64).ravel(), (p.T @ (f * f)).astype(np.float64).ravel(), [float((np.log(total) + most).sum(dtype=np.float64))]]
             return np.concatenate(out)
 
-        sums, at, fitted = _total(codes, expectation, width), 0, []
+        sums, at, fitted = _total(codes, expectation, width, step=_chunk(max(k for k, _ in shape))), 0, []
         for g, (k, d) in zip(models, shape):
             own = sums[at : at + k * (1 + 2 * d) + 1]
             at += len(own)
             new = g.update(own[:k], own[k : k + k * d].reshape(k, d), own[k + k * d : -1].reshape(k, d))
-            new.bic = -2 * own[-1] + (k * (1 + 2 * d) - 1) * math.log(max(rows, 2))  # of the parameters before this update
+            new.likelihood = float(own[-1])  # as the criterion, of the parameters before this update
+            new.bic = -2 * new.likelihood + (k * (1 + 2 * d) - 1) * math.log(max(rows, 2))
             fitted.append(new)
         sent.unpersist()
-        models = fitted
-    return min(models, key=lambda g: g.bic)
+        last, models = models, fitted
+        if turn + 1 >= CHOICE_ROUNDS:
+            best = min(range(len(models)), key=lambda i: models[i].bic)
+            last, models = last[best], [models[best]]
+            if models[0].likelihood - last.likelihood < GAIN * rows:
+                break
+    return models[0]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,20 +181,63 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def _comparison(similarity: float):
+    """Links of the rows of one block: a forest of what is similar for sure, and the pairs that codes leave open."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids, raw = table.column("id").to_numpy(zero_copy_only=False), table.column("code").to_pylist()
+        root = np.array([int.from_bytes(r[-8:], "little", signed=True) for r in raw])
+        x, lost = decode([r[:-8] for r in raw])
+        q, m = np.flatnonzero(asks), np.flatnonzero(table.column("member").to_numpy(zero_copy_only=False).astype(bool))
+        sure, maybe = [], []
+        for i in range(0, len(q), 512):
+            own = q[i : i + 512]
+            s = x[own] @ x[m].T
+            r, c = np.nonzero(s >= similarity - 1.05 * (lost[own].max() + lost.max()))
+            a, b = own[r], m[c]
+            off = 1.05 * (lost[a] + lost[b])
+            other = (ids[a] != ids[b]) & ((root[a] != root[b]) | (root[a] == NONE))
+            value = s[r, c]
+            yes, open_ = other & (value >= similarity + off), other & (np.abs(value - similarity) < off)
+            sure.append(np.stack([a[yes], b[yes]]))
+            maybe.append(np.stack([a[open_], b[open_]]))
+        empty = np.empty((2, 0), np.int64)
+        a, b = np.concatenate(sure, axis=1) if sure else empty
+        names, place_ = np.unique(ids, return_inverse=True)  # an asking row is a member too
+        label = _forest(len(names), place_[a], place_[b])
+        tied = np.flatnonzero(label != np.arange(len(names)))
+        u, v = np.concatenate(maybe, axis=1) if maybe else empty
+        u, v = place_[u], place_[v]
+        apart = label[u] != label[v]
+        u, v = names[u[apart]], names[v[apart]]
+        return pa.table({
+            "a": pa.array(np.r_[names[tied], np.minimum(u, v)], pa.int64()), "b": pa.array(np.r_[names[label[tied]], np.maximum(u, v)], pa.int64()),
+            "sure": pa.array(np.r_[np.ones(len(tied), bool), np.zeros(len(u), bool)].astype(bool)),
+        })
+
+    return compare
+
+
 class Clusters:
     """Groups of current points with usable vectors, chained by cosine similarity of at least ``similarity``.
 
     Points that are similar to nobody, or whose group has fewer than ``min_size`` points, belong nowhere.
     An empty table gives no groups; repeated deliveries count once; identical vectors are similar.
+    ``exact`` compares beyond components too, wherever distances from pivots leave it possible that rows
+    of different groups are similar: then no link is missed, and the work may grow with the square of
+    the rows.
     """
 
-    def __init__(self, points: DataFrame, similarity: float = SIMILARITY, min_size: int = MIN_SIZE, components: int = 4):
+    def __init__(self, points: DataFrame, similarity: float = SIMILARITY, min_size: int = MIN_SIZE, components: int = 4, exact: bool = False):
         self.points, self.similarity, self.min_size, self.per_row = points, similarity, min_size, components
         self.spark = points.sparkSession
         self.codes = current_codes(points)
         rows = self.codes.count()
         self.mixture = fit_mixture(self.codes, rows) if rows else None
         self.labels = self._link() if rows else self.spark.createDataFrame([], "id long, component long")
+        if rows and exact:
+            self.labels = self._completed(self.labels, rows)
 
     def _placed(self, sent):
         """Per batch: codes, log densities, and (row, component) of the components of highest posterior."""
@@ -199,12 +257,13 @@ class Clusters:
 
     def _representatives(self, place):
         """At most REPRESENTATIVES members of highest density of each component, best of each task first."""
+        step = _chunk(len(self.mixture.weight))
 
         def run(batches):
             held: dict = {}
             for b in batches:
-                for i in range(0, b.num_rows, 4096):
-                    part = b.slice(i, 4096)
+                for i in range(0, b.num_rows, step):
+                    part = b.slice(i, step)
                     _, _, row, comp, value = place(part.column(1))
                     ids, codes = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
                     order = np.lexsort((ids[row], -value, row))
@@ -222,7 +281,7 @@ class Clusters:
 
         best = Window.partitionBy("comp").orderBy("v", "id")
         found = self.codes.select("id", "code").mapInArrow(run, "comp int, v double, id long, code binary")
-        return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= REPRESENTATIVES).select("comp", "id", "code").collect()  # at most MAX_COMPONENTS x REPRESENTATIVES
+        return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= REPRESENTATIVES).select("comp", "id", "code").collect()  # REPRESENTATIVES a component
 
     def _link(self) -> DataFrame:
         similarity = self.similarity
@@ -238,13 +297,13 @@ class Clusters:
             ids = np.array([r[1] for r in rows])
             a, b = np.nonzero(x @ x.T - (lost[:, None] + lost) * 1.05 >= similarity)
             known[c] = (ids, x, lost, ids[_forest(len(ids), a, b)])
-        stand = self.spark.sparkContext.broadcast(known)
+        stand, step = self.spark.sparkContext.broadcast(known), _chunk(k)
 
         def explain(batches):
             """Per row its components, in each the representative that explains it (NONE if none does), and its links."""
             for b in batches:
-                for i in range(0, b.num_rows, 4096):
-                    part = b.slice(i, 4096)
+                for i in range(0, b.num_rows, step):
+                    part = b.slice(i, step)
                     x, lost, row, comp, _ = place(part.column(1))
                     ids = part.column(0).to_numpy(zero_copy_only=False)
                     order = np.argsort(comp, kind="stable")
@@ -280,10 +339,10 @@ class Clusters:
         # where one representative explains most rows of a component, only the other rows ask
         counts = narrow.where(F.col("root") != NONE).groupBy("list", "root").count()
         main = counts.groupBy("list").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        cells = cells.join(F.broadcast(main), "list", "left").withColumn("asks", (F.col("root") == NONE) | F.coalesce(F.col("root") != F.col("main"), F.lit(True))).drop("main")  # main: at most MAX_COMPONENTS rows
+        cells = cells.join(F.broadcast(main), "list", "left").withColumn("asks", (F.col("root") == NONE) | F.coalesce(F.col("root") != F.col("main"), F.lit(True))).drop("main")  # main: a row a component
         flags = narrow.join(F.broadcast(main), "list", "left").select("list", ((F.col("root") == NONE) | F.coalesce(F.col("root") != F.col("main"), F.lit(True))).alias("asks"))
         members, asking = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        for r in flags.groupBy("list").agg(F.count("*"), F.sum(F.col("asks").cast("int"))).collect():  # at most MAX_COMPONENTS rows
+        for r in flags.groupBy("list").agg(F.count("*"), F.sum(F.col("asks").cast("int"))).collect():  # a row a component
             members[r[0]], asking[r[0]] = r[1], r[2]
         cells = cells.select("list", "id", _appended("code", F.col("root")).alias("code"), "asks")
         split = [int(i) for i in np.flatnonzero((members > CELL_ROWS) | (asking > CELL_ROWS))]
@@ -294,96 +353,142 @@ class Clusters:
         left = _blocks(cells.where(is_split), "block", "q_block", members, asking, k, CELL_ROWS).withColumns({"asks": F.lit(False), "member": F.lit(True)})
         right = _blocks(cells.where(is_split & F.col("asks")), "q_block", "block", asking, members, k, CELL_ROWS).withColumns({"asks": F.lit(True), "member": F.lit(False)})
 
-        def compare(table: pa.Table) -> pa.Table:
-            asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            ids, raw = table.column("id").to_numpy(zero_copy_only=False), table.column("code").to_pylist()
-            root = np.array([int.from_bytes(r[-8:], "little", signed=True) for r in raw])
-            x, lost = decode([r[:-8] for r in raw])
-            q, m = np.flatnonzero(asks), np.flatnonzero(table.column("member").to_numpy(zero_copy_only=False).astype(bool))
-            sure, maybe = [], []
-            for i in range(0, len(q), 512):
-                own = q[i : i + 512]
-                s = x[own] @ x[m].T
-                r, c = np.nonzero(s >= similarity - 1.05 * (lost[own].max() + lost.max()))
-                a, b = own[r], m[c]
-                off = 1.05 * (lost[a] + lost[b])
-                other = (ids[a] != ids[b]) & ((root[a] != root[b]) | (root[a] == NONE))
-                value = s[r, c]
-                yes, open_ = other & (value >= similarity + off), other & (np.abs(value - similarity) < off)
-                sure.append(np.stack([a[yes], b[yes]]))
-                maybe.append(np.stack([a[open_], b[open_]]))
-            empty = np.empty((2, 0), np.int64)
-            a, b = np.concatenate(sure, axis=1) if sure else empty
-            names, place_ = np.unique(ids, return_inverse=True)  # an asking row is a member too
-            label = _forest(len(names), place_[a], place_[b])
-            tied = np.flatnonzero(label != np.arange(len(names)))
-            u, v = np.concatenate(maybe, axis=1) if maybe else empty
-            u, v = place_[u], place_[v]
-            apart = label[u] != label[v]
-            u, v = names[u[apart]], names[v[apart]]
-            return pa.table({
-                "a": pa.array(np.r_[names[tied], np.minimum(u, v)], pa.int64()), "b": pa.array(np.r_[names[label[tied]], np.maximum(u, v)], pa.int64()),
-                "sure": pa.array(np.r_[np.ones(len(tied), bool), np.zeros(len(u), bool)].astype(bool)),
-            })
-
         sides = whole.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns))
-        found = sides.groupBy("list", "block", "q_block").applyInArrow(compare, "a long, b long, sure boolean")
+        found = sides.groupBy("list", "block", "q_block").applyInArrow(_comparison(similarity), "a long, b long, sure boolean")
         found = materialise(found, "links")
         copies = self.codes.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
         copies = self.codes.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select(F.col("id").alias("a"), "b")
         edges = placed.select(F.col("id").alias("a"), F.explode("links").alias("b")).unionByName(found.where("sure").select("a", "b")).unionByName(copies)
         labels = materialise(connected_components(edges), "labels")
-        # pairs too close to call matter only between two groups
+        return self._joined(labels, found.where("not sure").select("a", "b"))
+
+    def _joined(self, labels: DataFrame, open_: DataFrame, sure: DataFrame | None = None) -> DataFrame:
+        """Labels closed over the pairs that are similar: the ``sure`` ones, and of ``open_`` those that are by their vectors.
+
+        Pairs too close to call matter only between two groups.
+        """
         one, two = (labels.select(F.col("id").alias(n), F.col("component").alias(f"g_{n}")) for n in ("a", "b"))
-        open_ = found.where("not sure").select("a", "b").distinct().join(one, "a", "left").join(two, "b", "left")
-        open_ = open_.select("a", "b", F.coalesce("g_a", "a").alias("g_a"), F.coalesce("g_b", "b").alias("g_b")).where("g_a <> g_b")
-        close = materialise(exact_similarities(self.points, self.codes, open_).where(F.col("similarity") >= similarity), "close")
+
+        def between(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.select("a", "b").distinct().join(one, "a", "left").join(two, "b", "left")
+            return pairs.select("a", "b", F.coalesce("g_a", "a").alias("g_a"), F.coalesce("g_b", "b").alias("g_b")).where("g_a <> g_b")
+
+        close = exact_similarities(self.points, self.codes, between(open_)).where(F.col("similarity") >= self.similarity).drop("similarity")
+        close = materialise(close if sure is None else close.unionByName(between(sure)), "close")
         merged = connected_components(close.select("g_a", "g_b"), "g_a", "g_b")
         whole = labels.unionByName(close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("component", F.col("id")))
         joined = whole.join(merged.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
         return materialise(joined.select("id", F.coalesce("top", "component").alias("component")), "labels")
 
+    def _completed(self, labels: DataFrame, rows: int) -> DataFrame:
+        """Labels closed over all similar pairs.
+
+        A row is a member of the list of its nearest pivot. It asks its own list, and of those before it
+        each whose farthest member can be within reach by the triangle inequality.
+        """
+        similarity, reach = self.similarity, math.sqrt(max(2 - 2 * self.similarity, 0))
+        sample = sorted(hash_sample(self.codes.select("id", "code"), rows, START_ROWS, SEED + 1).collect())
+        pivots = balanced_centroids(decode([r[1] for r in sample])[0], math.isqrt(rows) + 1)
+
+        def distances(codes):
+            x, lost = decode(codes)
+            square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * (x @ pivots.T)
+            return np.sqrt(np.maximum(square, 0)), lost
+
+        def own(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, 4096):
+                    part = b.slice(i, 4096)
+                    d, lost = distances(part.column(1))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1).astype(np.float64)), pa.array(lost.astype(np.float64))], ["id", "code", "list", "d", "lost"])
+
+        labelled = self.codes.select("id", "code").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = materialise(self.codes.select("id", "code").mapInArrow(own, "id long, code binary, list int, d double, lost double"), "pivots")
+        radius, off, members = np.full(len(pivots), -np.inf), 0.0, np.zeros(len(pivots), np.int64)
+        for r in placed.groupBy("list").agg(F.max("d"), F.max("lost"), F.count("*")).collect():  # a row a pivot
+            radius[r[0]], off, members[r[0]] = r[1], max(off, r[2]), r[3]
+
+        def asking(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, 4096):
+                    part = b.slice(i, 4096)
+                    d, lost = distances(part.column(1))
+                    near = (d <= radius[None, :] + reach + lost[:, None] + off + 1e-4) & (np.arange(len(pivots))[None, :] <= d.argmin(axis=1)[:, None])
+                    row, at = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), part.column(0).take(pa.array(row))], ["list", "id"])
+
+        asked = materialise(placed.select("id", "code").mapInArrow(asking, "list int, id long"), "asked")
+        asks = np.zeros(len(pivots), np.int64)
+        for r in asked.groupBy("list").count().collect():  # a row a pivot
+            asks[r[0]] = r[1]
+        full = labelled.select("id", _appended("code", F.col("component")).alias("code"))
+        sides = [(placed.select("list", "id").join(full, "id"), "block", "q_block", members, asks, False), (asked.join(full, "id"), "q_block", "block", asks, members, True)]
+        columns = ["list", "block", "q_block", "asks", "member", "id", "code"]
+        left, right = (_blocks(df, mine, other, n, m, len(pivots), CELL_ROWS).withColumns({"asks": F.lit(side), "member": F.lit(not side)}).select(columns) for df, mine, other, n, m, side in sides)
+        found = left.unionByName(right).groupBy("list", "block", "q_block").applyInArrow(_comparison(similarity), "a long, b long, sure boolean")
+        found = materialise(found, "links")
+        return self._joined(labels, found.where("not sure"), found.where("sure"))
+
     def members(self) -> DataFrame:
         """``(group_id, id)``: a row for each point of each group of at least min_size; group_id is its smallest id."""
         large = self.labels.groupBy(F.col("component").alias("group_id")).agg(F.count("*").alias("n")).where(F.col("n") >= self.min_size)
         return self.labels.select(F.col("component").alias("group_id"), "id").join(large.select("group_id"), "group_id")
 
-    def describe(self, typical: int = 5) -> DataFrame:
-        """Per group: size, centroid (mean unit vector, float), coherence (mean cosine to it), and its members of highest density."""
-        sent = self.spark.sparkContext.broadcast(self.mixture)
-        rows = materialise(self.members().join(self.codes.select("id", "code"), "id"), "grouped")
+    def describe(self) -> DataFrame:
+        """``(group_id, size, coherence, centroid)``: mean of the unit vectors, and the mean cosine to it; in double, of the stored vectors."""
+        members = materialise(self.members(), "grouped")
+        rows = members.join(stored_vectors(self.points, self.codes, members.select("id")), "id").select("group_id", "embedding")
 
         def sums(batches):
             for b in batches:
-                group = b.column(0).to_numpy(zero_copy_only=False)
-                x = decode(b.column(1))[0].astype(np.float64)
-                names, place_ = np.unique(group, return_inverse=True)
+                names, place_ = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
                 total = np.zeros((len(names), DIM))
-                np.add.at(total, place_, x)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(place_)), pa.array(list(total), pa.list_(pa.float64()))], ["group_id", "n", "s"])
-
-        partial = rows.select("group_id", "code").mapInArrow(sums, "group_id long, n long, s array<double>").select("group_id", "n", F.posexplode("s").alias("pos", "s"))
-        summed = partial.groupBy("group_id", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        wide = summed.groupBy("group_id").agg(F.max("n").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda v: v["s"]).alias("s"))
-        # the mean of the cosines of unit vectors to the centroid's direction is the length of their mean
-        length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda acc, v: acc + v * v)) / F.col("size")
-        centroids = wide.select("group_id", "size", length.alias("coherence"), F.transform("s", lambda v: (v / F.col("size")).cast("float")).alias("centroid"))
+                np.add.at(total, place_, unit(np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, DIM)))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(place_, minlength=len(names))), pa.array(list(total), pa.list_(pa.float64()))], ["group_id", "n", "s"])
+
+        def add(table: pa.Table) -> pa.Table:
+            s = np.array(table.column("s").to_pylist()).sum(axis=0)
+            n = sum(table.column("n").to_pylist())
+            # the mean of the cosines of unit vectors to their mean is the length of the mean
+            return pa.table({"group_id": [table.column("group_id")[0].as_py()], "size": [n], "coherence": [float(np.linalg.norm(s) / n)], "centroid": pa.array([s / n], pa.list_(pa.float64()))})
+
+        partial = rows.mapInArrow(sums, "group_id long, n long, s array<double>")  # a row a group and batch
+        return partial.groupBy("group_id").applyInArrow(lambda t: add(t), "group_id long, size long, coherence double, centroid array<double>")
+
+    def typical(self, most: int = 5) -> DataFrame:
+        """``(group_id, rank, id, log_density)``: the members of each group at which the mixture is densest, ties to the smaller id."""
+        dense = self.densities().join(self.members(), "id")
+        best = Window.partitionBy("group_id").orderBy(F.desc("log_density"), "id")
+        return dense.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("group_id", "rank", "id", "log_density")
+
+    def densities(self) -> DataFrame:
+        """``(id, component, log_density)``: the component of highest posterior of each point, and the log of its weighted density there."""
+        if self.mixture is None:
+            return self.spark.createDataFrame([], "id long, component int, log_density double")
+        sent, step = self.spark.sparkContext.broadcast(self.mixture), _chunk(len(self.mixture.weight))
 
         def density(batches):
             for b in batches:
-                g = sent.value
-                p = g.log_parts(g.features(decode(b.column(2))[0])).max(axis=1) if b.num_rows else np.empty(0)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p.astype(np.float64))], ["group_id", "id", "p"])
-
-        ranked = rows.select("group_id", "id", "code").mapInArrow(density, "group_id long, id long, p double")
-        best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("p"), "id"))).where(F.col("r") <= typical)
-        named = best.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda v: v["id"]).alias("typical_ids"))
-        return centroids.join(named, "group_id")
+                for i in range(0, b.num_rows, step):
+                    part = b.slice(i, step)
+                    g = sent.value
+                    p = g.log_parts(g.features(decode(part.column(1))[0]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p.max(axis=1).astype(np.float64))], ["id", "component", "log_density"])
+
+        return self.codes.select("id", "code").mapInArrow(density, "id long, component int, log_density double")
+
+    def components(self, most: int = 5) -> DataFrame:
+        """``(component, size, mean_log_density, typical_ids)`` of the mixture itself: every point in the component of highest posterior."""
+        placed = materialise(self.densities(), "placed")
+        best = Window.partitionBy("component").orderBy(F.desc("log_density"), "id")
+        named = placed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).groupBy("component")
+        named = named.agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda v: v["id"]).alias("typical_ids"))
+        return placed.groupBy("component").agg(F.count("*").alias("size"), F.avg("log_density").alias("mean_log_density")).join(named, "component")
 
     def member_lists(self, part_rows: int = 4096) -> DataFrame:
         """``(group_id, part, vector_ids)``: the members in lists of about ``part_rows``, so no list grows with a group."""
         sizes = self.members().groupBy("group_id").agg(F.count("*").alias("n"))
-        parts = self.members().join(sizes, "group_id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / part_rows)).cast("int"))
+        parts = self.members().join(sizes, "group_id").withColumn("part", (F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") % F.ceil(F.col("n") / part_rows)).cast("int"))
         return parts.groupBy("group_id", "part").agg(F.sort_array(F.collect_list("id")).alias("vector_ids"))
 
 

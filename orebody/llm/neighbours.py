@@ -1,13 +1,14 @@
 """Most similar vectors of every vector: balanced posting lists with a graph over their centroids.
 
-Centroids are fitted on a bounded sample, split and merged until the lists are balanced. Every vector is
-put into the list of its nearest centroid, and as a boundary vector into further lists whose centroid is
+Centroids are fitted on a sample of FIT_ROWS rows, or FIT_PER_LIST for each list where that is more, split
+and merged until the lists are balanced. Lists grow with the rows at LIST_ROWS rows a list, and beyond
+about six million rows with their square root, so that centroids fit into memory. Every vector is put into the list of its nearest centroid, and as a boundary vector into further lists whose centroid is
 nearly as near and not better covered by one already taken. A query finds near centroids by best-first
 search in a graph of centroids and opens those whose distance is within a ratio of the nearest. Lists and
 queries meet in blocks of bounded size, compared by matrix products of codes. Whatever the error bound of
 the codes leaves possible among the k best stays a candidate and is ranked by exact cosine in double;
 queries with many such rows are ranked in their block on the stored vectors. Identical vectors are one
-class and searched once.
+class and searched once. What pruning can miss, ``exact=True`` finds: every query then opens every list.
 """
 
 from __future__ import annotations
@@ -19,25 +20,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebody.llm._util import DIM, unit
+from orebody.llm._util import DIM, hash_sample, unit
 from orebody.llm.vectors import current_codes, decode, exact_similarities, stored_vectors
 from orebody.workspace import materialise
 
 FIT_ROWS = 16_384
+FIT_PER_LIST = 8
 LIST_ROWS = 384
-MAX_LISTS = 16_384
+LISTS_PER_ROOT = 6.5
+FLAT = 4096  # centroids up to which all are compared with all when they are fitted
 BLOCK = 4096
 MANY = 256
 SEED = 31
 
 
-def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 6, seed: int = SEED) -> np.ndarray:
-    """Unit centroids of about equally large clusters: Lloyd rounds in which large clusters take over small ones."""
+def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 6, seed: int = SEED, flat: int = FLAT) -> np.ndarray:
+    """Unit centroids of about equally large clusters: Lloyd rounds in which large clusters take over small ones.
+
+    More than ``flat`` lists are fitted in two levels, each first cluster getting lists by its size.
+    """
     rng = np.random.default_rng(seed)
     lists = max(1, min(lists, len(x)))
+    if lists > flat:
+        first = balanced_centroids(x, math.isqrt(lists), rounds, seed, flat)
+        own = _nearest(x, first)
+        size = np.bincount(own, minlength=len(first))
+        return np.concatenate([balanced_centroids(x[own == g], max(1, round(lists * n / len(x))), rounds, seed + 1 + g, flat) for g, n in enumerate(size) if n])
     c = x[rng.choice(len(x), lists, replace=False)].copy()
     for round_ in range(rounds):
-        best = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
+        best = _nearest(x, c)
         size = np.bincount(best, minlength=lists)
         total = np.zeros_like(c)
         np.add.at(total, best, x)
@@ -59,18 +70,33 @@ def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 6, seed: int = S
     return c.astype(np.float32)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64)] + [(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+
+
 class CentroidGraph:
-    """Nearest-neighbour graph over the centroids with a sparse upper layer of entry points."""
+    """Nearest-neighbour graph over the centroids with a sparse upper layer of entry points.
 
-    def __init__(self, centroids: np.ndarray, degree: int = 24):
+    More than ``flat`` centroids look for their neighbours only among those of the 16 groups nearest to them.
+    """
+
+    def __init__(self, centroids: np.ndarray, degree: int = 24, flat: int = FLAT):
         self.c = centroids
         k = len(centroids)
         self.degree = min(degree, max(k - 1, 1))
         near = np.empty((k, self.degree), np.int32)
-        for i in range(0, k, 1024):
-            s = centroids[i : i + 1024] @ centroids.T
-            s[np.arange(len(s)), np.arange(i, i + len(s))] = -2 if k > 1 else 0
-            near[i : i + 1024] = np.argsort(-s, axis=1, kind="stable")[:, : self.degree]
+        if k > flat:
+            tops = balanced_centroids(centroids, math.isqrt(k), 3, flat=flat)
+            own = _nearest(centroids, tops)
+            groups = [np.flatnonzero(np.isin(own, np.argsort(-(tops @ t), kind="stable")[:16])) for t in tops]
+            parts = [(np.flatnonzero(own == g), among) for g, among in enumerate(groups)]
+        else:
+            parts = [(np.arange(i, min(i + 1024, k)), np.arange(k)) for i in range(0, k, 1024)]
+        for rows, among in parts:
+            s = centroids[rows] @ centroids[among].T
+            s[rows[:, None] == among[None, :]] = -2 if k > 1 else 0
+            best = among[np.argsort(-s, axis=1, kind="stable")[:, : self.degree]]
+            near[rows] = np.pad(best, ((0, 0), (0, self.degree - best.shape[1])), mode="edge")
         self.near = near
         self.entries = np.random.default_rng(SEED).choice(k, min(k, 2 * math.isqrt(k) + 1), replace=False)
 
@@ -148,8 +174,9 @@ def _routed(codes: DataFrame, graph, choose, most: int, ratio: float) -> DataFra
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
+            step = min(2048, max(64, (1 << 25) // len(graph.value.c)))  # a search marks the centroids that each row has seen
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
                 row, list_ = choose(graph.value, decode(part.column(1))[0], most, ratio)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), part.column(0).take(at), part.column(1).take(at)], ["list", "id", "code"])
@@ -159,7 +186,7 @@ def _routed(codes: DataFrame, graph, choose, most: int, ratio: float) -> DataFra
 
 def _sizes(routed: DataFrame, lists: int) -> np.ndarray:
     out = np.zeros(lists, np.int64)
-    for r in routed.groupBy("list").count().collect():  # at most MAX_LISTS rows
+    for r in routed.groupBy("list").count().collect():  # a row a list
         out[r[0]] = r[1]
     return out
 
@@ -168,7 +195,7 @@ def _blocks(df: DataFrame, own: str, other: str, own_n, other_n, lists: int, row
     """Rows of one side with (block of this side, block of the other side): bounded groups, hot lists split."""
     spark = df.sparkSession
     splits = [(i, max(1, math.ceil(own_n[i] / rows)), max(1, math.ceil(other_n[i] / rows))) for i in range(lists) if own_n[i] > rows or other_n[i] > rows]
-    table = F.broadcast(spark.createDataFrame(splits or [(-1, 1, 1)], "list int, own_blocks int, other_blocks int"))  # at most MAX_LISTS rows
+    table = F.broadcast(spark.createDataFrame(splits or [(-1, 1, 1)], "list int, own_blocks int, other_blocks int"))  # only lists that are split
     df = df.join(table, "list", "left")
     mine = F.pmod(F.xxhash64("id"), F.coalesce("own_blocks", F.lit(1))).cast("int").alias(own)
     return df.select("list", "id", "code", mine, F.explode(F.sequence(F.lit(0), F.coalesce("other_blocks", F.lit(1)) - 1)).alias(other))
@@ -216,11 +243,12 @@ class VectorIndex:
         self.members = materialise(self.codes.select("id", "h1", "h2").join(copied, ["h1", "h2"]).select("id", "rep"), "members")
         self.reps = self.codes.select("id", "code").join(self.members.where("id <> rep").select("id"), "id", "left_anti")
         rows = self.codes.count()
-        sample = self.reps.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(FIT_ROWS).select("code").collect()
-        x = decode([r[0] for r in sample])[0] if sample else np.zeros((1, 96), np.float32)
-        self.lists = int(min(max(1, rows // list_rows), MAX_LISTS, len(x)))
-        self.graph = CentroidGraph(balanced_centroids(x, self.lists))
-        self.sent = self.spark.sparkContext.broadcast(self.graph)  # at most MAX_LISTS centroids
+        lists = int(max(1, min(rows // list_rows, LISTS_PER_ROOT * math.sqrt(rows))))
+        sample = hash_sample(self.reps.select("id", "code"), rows, max(FIT_ROWS, FIT_PER_LIST * lists), SEED).collect()
+        x = decode([r[1] for r in sorted(sample)])[0] if sample else np.zeros((1, DIM), np.float32)
+        self.graph = CentroidGraph(balanced_centroids(x, lists))
+        self.lists = len(self.graph.c)
+        self.sent = self.spark.sparkContext.broadcast(self.graph)  # 480 bytes a list
         self.copies, self.copy_ratio = copies, copy_ratio
 
     def candidates(self, queries: DataFrame, k: int, open_lists: int, ratio: float, min_similarity: float | None) -> DataFrame:
@@ -289,8 +317,13 @@ class VectorIndex:
 
         return rows.join(stored, "id").groupBy("list", "block", "q_block").applyInArrow(rank, "q long, c long, low double, high double")
 
-    def neighbours(self, k: int = 5, queries: DataFrame | None = None, open_lists: int = 6, ratio: float = 1.15, min_similarity: float | None = None) -> DataFrame:
-        """The k most similar other points of each query id (all points if None), if given those of ``min_similarity`` or more."""
+    def neighbours(self, k: int = 5, queries: DataFrame | None = None, open_lists: int = 6, ratio: float = 1.15, min_similarity: float | None = None, exact: bool = False) -> DataFrame:
+        """The k most similar other points of each query id (all points if None), if given those of ``min_similarity`` or more.
+
+        ``exact`` opens every list for every query: nothing is missed, and the work is queries times rows, in blocks.
+        """
+        if exact:
+            open_lists, ratio = self.lists, math.inf
         asked = self.reps
         if queries is not None:
             wanted = queries.select("id").distinct()

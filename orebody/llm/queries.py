@@ -81,6 +81,9 @@ select distinct doc_id, item_id from r join q using (n, g)
 }
 
 
+ALL = 2**31
+
+
 def p6_found(spark, d):
     return neighbours.similar_pairs(table(spark, d, "points")).select("chunk_a_id", "chunk_b_id")
 
@@ -89,7 +92,7 @@ def p6_links(spark, d):
     """The 5 most similar of every 50th id, over all rows; the ratio alone decides how many lists are opened."""
     points = table(spark, d, "points")
     asked = points.where("id % 50 = 0").select("id").distinct()
-    found = neighbours.VectorIndex(points, copies=4, copy_ratio=1.2).neighbours(5, asked, open_lists=neighbours.MAX_LISTS, ratio=1.18)
+    found = neighbours.VectorIndex(points, copies=4, copy_ratio=1.2).neighbours(5, asked, open_lists=ALL, ratio=1.18)
     return found.select("id", F.col("neighbour").alias("linked_id"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -111,23 +114,38 @@ def p3_found(spark, d):
 
 
 def p3_clusters(spark, d):
+    """Size and coherence of each group, and its centroid as one text of rounded numbers."""
     found = grouping.Clusters(table(spark, d, "points")).describe()
-    return found.select("group_id", "size", F.round("coherence", 4).alias("coherence"), "centroid", "typical_ids")
+    return found.select("group_id", "size", F.round("coherence", 4).alias("coherence"), F.array_join(F.transform("centroid", lambda x: F.format_string("%.3f", F.round(x, 3) + 0.0)), " ").alias("centroid"))
+
+
+def p3_typical(spark, d):
+    found = grouping.Clusters(table(spark, d, "points")).typical()
+    return found.select("group_id", "rank", "id")
+
+
+def p3_components(spark, d):
+    found = grouping.Clusters(table(spark, d, "points")).components()
+    return found.select("component", "size", F.round("mean_log_density", 3).alias("mean_log_density"), "typical_ids")
 
 
 def p3_members(spark, d):
-    return grouping.Clusters(table(spark, d, "points")).member_lists()
+    found = grouping.Clusters(table(spark, d, "points")).member_lists()
+    return found.select("group_id", "part", F.array_join(F.col("vector_ids").cast("array<string>"), " ").alias("vector_ids"))
 
 
-QUERIES |= {f.__name__: f for f in (p3_found, p3_clusters, p3_members)}
-ORACLES |= {
-    "p3_found": f"""
-with recursive v as ({_VECTORS}),
+QUERIES |= {f.__name__: f for f in (p3_found, p3_clusters, p3_typical, p3_components, p3_members)}
+_GROUPED = f"""with recursive v as ({_VECTORS}),
 s as (select a.id as x, b.id as y from v a, v b where a.id <> b.id and {_DOT.format('a.e', 'b.e')} / (a.m * b.m) >= 0.80),
 walk(id, other) as (select id, id from v union select w.id, s.y from walk w join s on w.other = s.x),
-g as (select id, min(other) as group_id, count(*) as n from walk group by id)
-select group_id, id from g where n >= 5
+g as (select group_id, id from (select id, min(other) as group_id, count(*) as n from walk group by id) where n >= 5)"""
+ORACLES |= {
+    "p3_found": f"{_GROUPED} select group_id, id from g",
+    "p3_clusters": f"""{_GROUPED},
+c as (select group_id, pos, avg(x) as c from (select g.group_id, unnest(range(0, 96)) as pos, unnest(list_transform(v.e, lambda t: t / v.m)) as x from g join v using (id)) group by group_id, pos)
+select group_id, (select count(*) from g where g.group_id = c.group_id) as size, round(sqrt(sum(c * c)), 4) as coherence, string_agg(printf('%.3f', round(c, 3) + 0.0), ' ' order by pos) as centroid from c group by group_id
 """,
+    "p3_members": f"{_GROUPED} select group_id, part::int as part, string_agg(id::varchar, ' ' order by id) as vector_ids from (select group_id, id, ('0x' || substr(md5(id::varchar), 1, 8))::bigint % ceil(count(*) over (partition by group_id) / 4096.0)::bigint as part from g) group by group_id, part",
 }
 
 

@@ -2,8 +2,7 @@
 
 Rows are spread by hash over parts of bounded size. Each part selects representatives greedily, each next
 one farthest from those it has; the parts' representatives are pooled and the selection runs again on the
-pool. A pool too large for one task is first divided into about equally large regions; each is taken in
-farthest-first order, and the places go to the rows that were farthest when taken, over all regions.
+pool, by regions of bounded size: the places go to the rows that were farthest when taken, over all regions.
 """
 
 from __future__ import annotations
@@ -16,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebody.functions.columns import layer_category, source_category
-from orebody.llm._util import smallest_per_group
-from orebody.llm.neighbours import balanced_centroids
+from orebody.llm._util import hash_sample, smallest_per_group
+from orebody.llm.neighbours import FIT_PER_LIST, FIT_ROWS, CentroidGraph, balanced_centroids
 from orebody.llm.vectors import current_codes, decode
 from orebody.workspace import materialise
 
 PART_ROWS = 16_384
 OVERSAMPLE = 2.0
+TURNS, MAX_TURNS = 3, 12
 SEED = 53
 
 
@@ -90,50 +90,52 @@ def varied_subset(points: DataFrame, share: float = 0.01) -> DataFrame:
     per_part = math.ceil(OVERSAMPLE * size / parts)
     pool = _select(marked.withColumn("size", F.lit(per_part))).select("id")
     pool = materialise(rows.join(pool, "id"), "pool")
-    pooled = pool.count()
-    must = _of_each_category(pool)
-    must = must.orderBy("id").limit(size).withColumn("must", F.lit(True))
-    pool = pool.join(must, "id", "left").withColumn("must", F.coalesce("must", F.lit(False)))
-    regions = max(1, math.ceil(pooled / (PART_ROWS // 2)))
-    if regions == 1:
-        chosen = _select(pool.withColumn("part", F.lit(0)).withColumn("size", F.lit(size)))
-    else:
-        chosen = _over_regions(materialise(pool, "marked"), pooled, size)
+    must = _of_each_category(pool).orderBy("id").limit(size).withColumn("must", F.lit(True))
+    pool = materialise(pool.join(must, "id", "left").withColumn("must", F.coalesce("must", F.lit(False))), "marked")
+    chosen = _farthest_of(pool, pool.count(), size)
     return rows.join(chosen.select("id"), "id").drop("code")
 
 
-def _over_regions(pool: DataFrame, pooled: int, size: int) -> DataFrame:
-    """``(id)``: the must rows and the rows farthest from what their region has, ``size`` in all.
+def _farthest_of(pool: DataFrame, pooled: int, size: int) -> DataFrame:
+    """``(id)``: the must rows and the rows farthest from those taken before them, ``size`` in all.
 
-    A region that is too large for one task is taken in pieces by hash, which don't see each other. The
-    pool then only shrinks by a quarter and is taken again in other pieces, down to ``size``.
+    The pool is divided into regions that fit one task, each is taken in farthest-first order, and the
+    places go to the rows that were farthest when taken, whatever their region. With one region this is
+    farthest-first over the pool. With several, two rows on the sides of a border don't see each other:
+    half of the surplus rows stay, and are taken again in regions with other borders, until the last
+    pass takes ``size`` rows.
     """
-    seed = SEED + 1
-    while True:
-        parts, pieces = _regions(pool, max(1, math.ceil(pooled / (PART_ROWS // 2))), seed)
+    for turn in range(MAX_TURNS):
+        regions = max(1, math.ceil(pooled / (PART_ROWS // 2)))
+        parts, pieces = _regions(pool, pooled, regions, SEED + 1 + turn)
+        last = regions == 1 or turn == MAX_TURNS - 1 or (turn >= TURNS - 1 and pieces == 1)
+        keep = min(pooled, size if last else size + max(0, pooled - size) // 2)
         picked = _select(parts.withColumn("size", F.lit(pooled))).withColumn("all", F.lit(0))
-        pooled = size if pieces == 1 else max(size, pooled * 3 // 4)
         key = F.when(F.col("nearest") <= -2, 1e-9).otherwise(F.greatest(F.lit(2e-9), F.least(F.lit(1 - 1e-9), (F.col("nearest") + 1) / 2)))
-        picked = materialise(picked.withColumn("key", key).withColumn("quota", F.lit(pooled)), "picked")
+        picked = materialise(picked.withColumn("key", key).withColumn("quota", F.lit(keep)), "picked")
         chosen = materialise(smallest_per_group(picked, ["all"], "key", "quota", pooled).select("id"), "chosen")
-        if pooled == size:
+        if last:
             return chosen
-        pool, seed = materialise(pool.join(chosen, "id"), "pool"), seed + 1
+        pool, pooled = materialise(pool.join(chosen, "id"), "pool"), keep
 
 
-def _regions(pool: DataFrame, regions: int, seed: int) -> tuple[DataFrame, int]:
+def _regions(pool: DataFrame, pooled: int, regions: int, seed: int) -> tuple[DataFrame, int]:
     """The pool with region as ``part`` (split where larger than PART_ROWS), and the most pieces of a region."""
+    if regions == 1 and pooled <= PART_ROWS:
+        return pool.withColumn("part", F.lit(0).cast("long")), 1
     spark = pool.sparkSession
-    sample = pool.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(16_384).select("code").collect()
-    sent = spark.sparkContext.broadcast(balanced_centroids(decode([r[0] for r in sample])[0], min(regions, 4096)))
+    sample = sorted(hash_sample(pool.select("id", "code"), pooled, max(FIT_ROWS, FIT_PER_LIST * regions), seed).collect())
+    sent = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(decode([r[1] for r in sample])[0], regions, seed=seed)))  # 480 bytes a region
 
     def nearest(batches):
         for b in batches:
-            best = (decode(b.column(1))[0] @ sent.value.T).argmax(axis=1) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best.astype(np.int32))], ["id", "region"])
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                best = sent.value.search(decode(part.column(1))[0], 1)[0][:, 0]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32))], ["id", "region"])
 
     placed = materialise(pool.select("id", "code").mapInArrow(nearest, "id long, region int"), "regions")
-    counts = {r[0]: r[1] for r in placed.groupBy("region").count().collect()}  # at most 4096 rows
+    counts = {r[0]: r[1] for r in placed.groupBy("region").count().collect()}  # a row a region
     split = [(g, max(1, math.ceil(c / PART_ROWS))) for g, c in counts.items()]
     parts = placed.join(F.broadcast(spark.createDataFrame(split, "region int, pieces int")), "region")
     part = F.col("region").cast("long") * (1 << 32) + F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("pieces"))
