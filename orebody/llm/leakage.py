@@ -6,7 +6,7 @@ cut into windows of 2 n - 1 words at every n-th word, so that each run of n word
 A passage in a window shares all its shingles with it, which bounds their resemblance from below by
 q / (q + others); the partition gets as many MinHash bands of one row as make a miss rarer than MISS. Each
 window that shares a band with a passage is then searched for the passage itself, by the hashes of
-its runs of n words.
+its runs of n words; of what is found, the words are compared.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.functions.text import run_hashes, run_owners, word_hashes
+from orebody.functions.text import run_hashes, run_owners, word_hashes, words
 
 PASSAGE = 12
 MISS = 1e-7
@@ -56,7 +56,7 @@ class PassageIndex:
 
     def __init__(self, item_ids: list, texts: list):
         hashes, lengths = word_hashes(texts)
-        starts = np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64) if len(lengths) else np.empty(0, np.int64)
+        self.texts = dict(zip(item_ids, texts))
         self.parts = []
         for n in sorted({min(PASSAGE, int(x)) for x in lengths if x}):
             runs = run_hashes(hashes, n)
@@ -74,7 +74,6 @@ class PassageIndex:
                 keys = [np.unique(_mixed(rows[take], a[i], b[i]).min(axis=1)) for i in range(bands)]
                 order = np.argsort(runs[place[take]], kind="stable")
                 self.parts.append((n, k, keys, runs[place[take]][order], np.asarray(item_ids, dtype=np.int64)[owner[take]][order]))
-        del starts
 
     @staticmethod
     def _sizes(distinct: np.ndarray) -> list[tuple[int, int]]:
@@ -119,11 +118,20 @@ class PassageIndex:
                 at = np.minimum(np.searchsorted(key, least), len(key) - 1)
                 hit |= key[at] == least
             found.append(self._verify(np.flatnonzero(hit), text_of, first, starts, lengths, hashes, n, passages, items))
-        return self._distinct(found)
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        same = np.array([self._contains(texts[i], int(item)) for i, item in rows.tolist()], dtype=bool)
+        return rows[same, 0], rows[same, 1]
+
+    def _contains(self, text: str, item: int) -> bool:
+        """Whether the words of a passage of the item stand in the text one after another."""
+        of_item, of_text = words(self.texts[item]), words(text)
+        n = min(PASSAGE, len(of_item))
+        passages = {tuple(of_item[i : i + n]) for i in range(len(of_item) - n + 1)}
+        return any(tuple(of_text[i : i + n]) in passages for i in range(len(of_text) - n + 1))
 
     @staticmethod
     def _verify(windows, text_of, first, starts, lengths, hashes, n, passages, items) -> np.ndarray:
-        """Exact: the hash of each run of n words that starts in the block, looked up among the passages."""
+        """The hash of each run of n words that starts in the block, looked up among the passages."""
         text = text_of[windows]
         at = (starts[text] + (windows - first[text]) * n)[:, None] + np.arange(n)
         ok = at + n <= (starts[text] + lengths[text])[:, None]
@@ -141,11 +149,6 @@ class PassageIndex:
         slot = np.repeat(low, many) + np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many).astype(np.int64)
         return np.stack([text[row], items[slot]], axis=1)
 
-    @staticmethod
-    def _distinct(found: list) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return rows[:, 0], rows[:, 1]
-
 
 def leaks(documents: DataFrame, eval_items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``(doc_id, item_id)``: documents that contain a passage of the item, each pair once.

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.functions.text import run_hashes, run_owners, word_hashes
@@ -29,7 +29,7 @@ from orebody.workspace import materialise
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 5
 WORDS64 = 4  # 256 bits
 TILE = 1024
-STAR_ABOVE = 1000
+COPIES = 32
 SKETCH_BITS = (16, 24)
 U64 = np.uint64
 
@@ -256,22 +256,22 @@ class NearDuplicates:
         common = F.size(F.array_intersect("s_a", "s_b"))
         return candidates.join(a, "a").join(b, "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity")).where(F.col("similarity") >= self.similarity)
 
-    def text_pairs(self, star_above: int = STAR_ABOVE) -> DataFrame:
-        """``(id_a, id_b, similarity)``, id_a < id_b: all pairs of texts, copies among them.
+    def text_pairs(self, copies: int = COPIES) -> DataFrame:
+        """``(id_a, id_b, similarity)``, id_a < id_b: pairs of texts, and of copies of one text.
 
-        More than ``star_above`` copies of the same words are paired with their smallest id only, and that
-        one stands for them in all other pairs; ``groups`` has the rest. Links between different texts are
-        never lost, also where their shingle sets are equal.
+        Of each text (the same words in the same order) the ``copies`` smallest ids have all their pairs.
+        Each further copy has one row, which names the text's smallest id: whatever that is paired with,
+        the copy is too. Links between different texts are never lost, also where their shingle sets are
+        equal. ``groups`` has a row for each text instead.
         """
-        hot = self.members.where(F.col("copies") > star_above)
-        texts = hot.groupBy("rep", "words").agg(F.min("id").alias("first"), F.count("*").alias("same")).where(F.col("same") > star_above)
-        star = materialise(hot.join(texts, ["rep", "words"]).where(F.col("id") != F.col("first")).select("first", "id"), "star")
-        member = self.members.join(star.select("id"), "id", "left_anti").select("rep", "id")
+        rank = Window.partitionBy("rep", "words").orderBy("id")
+        member = materialise(self.members.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= copies).select("rep", "words", "id"), "expanded")
+        more = self.members.groupBy("rep", "words").agg(F.min("id").alias("first"), F.count("*").alias("same")).where(F.col("same") > copies)
+        further = self.members.join(more, ["rep", "words"]).join(member.select("id"), "id", "left_anti").select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
         one, two = (member.select(F.col("rep").alias(x), F.col("id").alias(f"id_{x}")) for x in ("a", "b"))
         between = self.pairs.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"), "similarity")
         within = one.join(two.withColumnRenamed("b", "a"), "a").where("id_a < id_b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), F.lit(1.0).alias("similarity"))
-        copies = star.select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
-        return between.unionByName(within).unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+        return between.unionByName(within).unionByName(further).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
     def groups(self) -> DataFrame:
         """``(id, class_id, group_id, links)``: a row for each text with a partner; group_id is the smallest id of its group."""

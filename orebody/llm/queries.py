@@ -17,7 +17,14 @@ def p1_sample(spark, d):
 
 
 def p1_report(spark, d):
-    return proportions.target_report(table(spark, d, "points"), table(spark, d, "sample_targets"))
+    """What each target needs and can get; ``p1_gaps`` has what the sample gave it."""
+    found = proportions.target_report(table(spark, d, "points"), table(spark, d, "sample_targets"))
+    return found.select("target_id", "available", F.round("needed", 4).alias("needed"), F.round("unmet", 4).alias("unmet"), "met")
+
+
+def p1_gaps(spark, d):
+    found = proportions.target_report(table(spark, d, "points"), table(spark, d, "sample_targets"))
+    return found.select("target_id", "plan_name", "drawn", F.round("actual_share", 6).alias("actual_share"), F.round("gap", 6).alias("gap"))
 
 
 def p5_found(spark, d):
@@ -50,18 +57,28 @@ def p8_report(spark, d):
     return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_groups, p7_found, p7_report, p8_found, p8_mixture, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p1_gaps, p5_found, p5_groups, p7_found, p7_report, p8_found, p8_mixture, p8_report)}
 
 _WORDS = r"regexp_extract_all(lower(replace(replace({0}, chr(173), ''), chr(8203), '')), '[\p{{L}}\p{{N}}]+')"
 _CATEGORY = "case when {0} is null or trim({0}) = '' then '{1}' else lower(trim({0})) end"
 _CURRENT = "select * from (select *, row_number() over (partition by id order by seq desc) as r from points where id is not null) where r = 1"
 
+_TARGETS = f"""with cur as (select {_CATEGORY.format('source', 'unknown')} as s, {_CATEGORY.format('layer', 'surface')} as l from ({_CURRENT})),
+t as (select *, case when source is not null then {_CATEGORY.format('source', 'unknown')} end as ts, case when layer is not null then {_CATEGORY.format('layer', 'surface')} end as tl from sample_targets),
+r as (select target_id, (select count(*) from cur where (ts is null or s = ts) and (tl is null or l = tl)) as available, greatest(min_rows::double, target_share * sample_share * (select count(*) from cur)) as needed from t)"""
+# the shingle set of each text as a sorted list, classes of equal sets, pairs of classes, and their chains
+_SHINGLED = """w as (select id, {words} as w from ({current}) where fragment is not null),
+s as (select distinct id, list_aggregate(w[i : i + {n} - 1], 'string_agg', ' ') as g from (select id, w, unnest(range(1, len(w) - {n} + 2)) as i from w where len(w) >= {least})),
+e as (select id, list(g order by g) as k from s group by id),
+c as (select id, min(id) over (partition by k) as class_id, len(k) as n from e),
+p as (select a.id as x, b.id as y, count(*) as common from s a join s b on a.g = b.g and a.id < b.id where a.id in (select class_id from c) and b.id in (select class_id from c) group by all),
+l as (select x, y from p join c cx on cx.id = x join c cy on cy.id = y where common >= {share} * (cx.n + cy.n - common))"""
+# a plain tokenizer: words and single other characters
+_TOKENS = r"coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')), 0)"
+
 ORACLES = {
-    "p1_found": f"""
-with cur as (select {_CATEGORY.format('source', 'unknown')} as s, {_CATEGORY.format('layer', 'surface')} as l from ({_CURRENT})),
-t as (select *, case when source is not null then {_CATEGORY.format('source', 'unknown')} end as ts, case when layer is not null then {_CATEGORY.format('layer', 'surface')} end as tl from sample_targets)
-select target_id from t where (select count(*) from cur where (ts is null or s = ts) and (tl is null or l = tl)) < greatest(min_rows, target_share * sample_share * (select count(*) from cur))
-""",
+    "p1_found": f"{_TARGETS} select target_id from r where available < needed",
+    "p1_report": f"{_TARGETS} select target_id, available, round(needed, 4) as needed, round(greatest(0, needed - available), 4) as unmet, available >= needed as met from r",
     "p5_found": f"""
 with cur as ({_CURRENT}),
 w as (select id, {_WORDS.format('fragment')} as w from cur where fragment is not null),
@@ -69,16 +86,34 @@ s as (select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (
 n as (select id, count(*) as n from s group by id),
 c as (select a.id as id_a, b.id as id_b, count(*) as c from s a join s b on a.g = b.g and a.id < b.id group by all)
 select id_a, id_b from c join n na on na.id = id_a join n nb on nb.id = id_b where c >= 0.5 * (na.n + nb.n - c)
+""",
+    "p5_groups": f"""
+with recursive {_SHINGLED.format(words=_WORDS.format('fragment'), current=_CURRENT, n=5, least=5, share=0.8)},
+d as (select class_id, count(*) as links from (select x as class_id from l union all select y from l) group by class_id),
+b as (select x, y from l union all select y, x from l),
+walk(id, other) as (select distinct class_id, class_id from c union select w.id, b.y from walk w join b on w.other = b.x),
+g as (select id as class_id, min(other) as group_id from walk group by id)
+select c.id, c.class_id, g.group_id, coalesce(d.links, 0) as links from c join g using (class_id) left join d using (class_id) where d.links is not null or (select count(*) from c o where o.class_id = c.class_id) > 1
 """,
     "p7_found": f"""
-with d as (select doc_id, {_WORDS.format('text')} as w from documents where text is not null),
+with {{leaked}} select doc_id, item_id from leaked
+""",
+    "p7_report": f"""
+with {{leaked}} select i.item_id, i.benchmark, count(*) as documents from eval_items i join leaked using (item_id) group by i.item_id, i.benchmark
+""",
+    "p8_found": f"""
+with d as (select {_CATEGORY.format('source', 'unknown')} as s, sum({_TOKENS}) as t from documents group by s)
+select {_CATEGORY.format('source', 'unknown')} as source from mix_targets left join d on d.s = {_CATEGORY.format('source', 'unknown')} group by 1 having max(coalesce(max_repeats, 1)) * max(coalesce(t, 0)) < sum(target_share) * 0.4 * (select sum(t) from d)
+""",
+}
+_LEAKED = f"""d as (select doc_id, {_WORDS.format('text')} as w from documents where text is not null),
 i as (select item_id, {_WORDS.format('text')} as w from eval_items where text is not null),
 q as (select distinct item_id, least(12, len(w)) as n, list_aggregate(w[p : p + least(12, len(w)) - 1], 'string_agg', ' ') as g from (select item_id, w, unnest(range(1, greatest(1, len(w) - 11) + 1)) as p from i where len(w) > 0)),
 sizes as (select distinct n from q),
-r as (select distinct doc_id, n, list_aggregate(w[p : p + n - 1], 'string_agg', ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n))
-select distinct doc_id, item_id from r join q using (n, g)
-""",
-}
+r as (select distinct doc_id, n, list_aggregate(w[p : p + n - 1], 'string_agg', ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n)),
+leaked as (select distinct doc_id, item_id from r join q using (n, g))"""
+for _name in ("p7_found", "p7_report"):
+    ORACLES[_name] = ORACLES[_name].replace("{leaked}", _LEAKED)
 
 
 ALL = 2**31
@@ -99,7 +134,13 @@ def p6_links(spark, d):
 QUERIES |= {f.__name__: f for f in (p6_found, p6_links)}
 _DOT = "list_inner_product({0}::double[], {1}::double[])"
 _VECTORS = f"select id, embedding::double[] as e, sqrt({_DOT.format('embedding', 'embedding')}) as m from ({_CURRENT}) where len(embedding) = 96 and {_DOT.format('embedding', 'embedding')} > 0"
+_NEAREST = f"""
+with v as ({_VECTORS}),
+s as (select a.id as id, b.id as linked_id, {_DOT.format('a.e', 'b.e')} / (a.m * b.m) as s from v a, v b where a.id % 50 = 0 and a.id <> b.id)
+select id, linked_id, round(s, 6) as similarity, r::int as rank from (select *, row_number() over (partition by id order by s desc, linked_id) as r from s) where r <= 5
+"""
 ORACLES |= {
+    "p6_links": _NEAREST,
     "p6_found": f"""
 with v as ({_VECTORS}),
 s as (select a.id as x, b.id as y, {_DOT.format('a.e', 'b.e')} / (a.m * b.m) as s from v a, v b where a.id <> b.id and {_DOT.format('a.e', 'b.e')} / (a.m * b.m) >= 0.95),
