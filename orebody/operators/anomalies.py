@@ -70,14 +70,29 @@ def embedding_bias(clusters: DataFrame, members: DataFrame, density: float = 0.9
     return _finding(clusters.where(F.col("density") > density).join(per.where("k = 1"), "cluster_id"), "embedding_bias_suspected", F.col("density"), F.col("s"))
 
 
-def all_findings(clusters: DataFrame, bridges: DataFrame, members: DataFrame) -> DataFrame:
+def all_findings(clusters: DataFrame, bridges: DataFrame, members: DataFrame, coherence: float = 0.5, low: float = 0.3, high: float = 0.95, oversampled: float = 0.7) -> DataFrame:
+    """Rows of all detectors, at the given thresholds."""
     parts = [
-        low_coherence(clusters), unusual_density(clusters), orphans(clusters, bridges), contradictions(clusters, members),
-        label_mismatches(clusters), oversampling(clusters, members), summary_artifacts(clusters), embedding_bias(clusters, members),
+        low_coherence(clusters, coherence), unusual_density(clusters, low, high), orphans(clusters, bridges), contradictions(clusters, members),
+        label_mismatches(clusters), oversampling(clusters, members, oversampled), summary_artifacts(clusters), embedding_bias(clusters, members, high),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+SAYS = {
+    "coherence_anomaly": "the points hardly point one way; views that contradict each other may lie together", "density_anomaly": "the points lie unusually far apart, or so close that they may be copies",
+    "orphan_cluster": "nothing bridges this cluster and any other", "source_contradiction": "many sources say nearly the same", "label_mismatch": "the label names something else than the content",
+    "source_oversampling": "one source holds most of the cluster", "summary_template_artifact": "summaries of a topic, not the topic itself", "embedding_bias_suspected": "one source, very dense",
+}
+
+
+def as_findings(found: DataFrame) -> DataFrame:
+    """Anomalies in the form of findings, with what their kind means and the detail as chain."""
+    says = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in SAYS.items()])
+    chain = F.concat_ws(": ", says, F.nullif("detail", F.lit("")))
+    return found.select("type", "subject", chain.alias("reasoning_chain"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("is_anomaly"), "requires_review", F.array(F.col("cluster_id").cast("int")).alias("clusters"))
+
+
 def anomaly_score(kind: str = "type", coherence: str = "coherence", density: str = "density") -> Column:
     return (
         F.when(F.col(kind) == "coherence_anomaly", 1 - F.col(coherence)).when(F.col(kind) == "density_anomaly", F.abs(F.col(density) - 0.7))

@@ -9,6 +9,7 @@ shuffled, never the rows themselves.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from orebody.workspace import materialise
 
 ARITY_BITS = 4
 ROWS_PER_LEAF = 64
+PREFIX_BITS = 8
 
 
 def row_digests(df: DataFrame, fields: list[str], key: str = "id", order: str | None = None) -> DataFrame:
@@ -55,18 +57,19 @@ def build_tree(rows: DataFrame, depth: int, key: str = "id") -> DataFrame:
 
 
 def changed_leaves(now: DataFrame, saved: DataFrame, depth: int) -> DataFrame:
-    """``(leaf)`` whose digests differ, found by descending from the root through differing nodes only."""
-    open_nodes = None
-    for at in range(depth + 1):
-        mine = now.where(F.col("level") == at).select("node", F.col("d1").alias("a1"), F.col("d2").alias("a2"))
-        theirs = saved.where(F.col("level") == at).select("node", F.col("d1").alias("b1"), F.col("d2").alias("b2"))
-        if open_nodes is not None:
-            inside = F.shiftright("node", ARITY_BITS)
-            mine = mine.join(open_nodes, inside == F.col("parent"), "left_semi")
-            theirs = theirs.join(open_nodes, inside == F.col("parent"), "left_semi")
-        differing = mine.join(theirs, "node", "full").where(~(F.col("a1").eqNullSafe(F.col("b1")) & F.col("a2").eqNullSafe(F.col("b2"))))
-        open_nodes = differing.select(F.col("node").alias("parent"))
-    return open_nodes.select(F.col("parent").alias("leaf"))
+    """``(leaf)`` whose digests differ, found by descending from the root through differing nodes only.
+
+    The trees are joined once, on (level, node); each level then keeps the nodes below a node kept.
+    """
+    mine = now.select("level", "node", F.col("d1").alias("a1"), F.col("d2").alias("a2"))
+    theirs = saved.select("level", "node", F.col("d1").alias("b1"), F.col("d2").alias("b2"))
+    same = F.col("a1").eqNullSafe(F.col("b1")) & F.col("a2").eqNullSafe(F.col("b2"))
+    differing = materialise(mine.join(theirs, ["level", "node"], "full").where(~same).select("level", "node"), "differing")
+    open_nodes = differing.where(F.col("level") == 0).select("node")
+    for at in range(1, depth + 1):
+        below = differing.where(F.col("level") == at).select("node", F.shiftright("node", ARITY_BITS).alias("parent"))
+        open_nodes = below.join(open_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node")
+    return open_nodes.select(F.col("node").alias("leaf"))
 
 
 def due_rows(now: DataFrame, saved: DataFrame, key: str = "id") -> DataFrame:
@@ -118,9 +121,11 @@ def due_points(points: DataFrame, stamps: DataFrame, runs: DataFrame, fields=("e
 class MerkleStore:
     """Saved trees and outputs of an incremental job below one folder.
 
-    ``run`` hands the new or changed rows to ``work`` and writes its output and the new digests into
-    one hidden folder, which a single rename makes the next version. A failure before the rename
-    leaves the last version in force, so the next run takes the same rows again; after it, none again.
+    ``run`` hands the new or changed rows to ``work`` and writes its output, the new digests and their tree
+    into a folder of its own. Then a pointer file with the version's number is created, which fails if it
+    exists and needs no folder to be renamed: output and tree are published together or not at all. A failure before leaves the last version in force, so the next run takes the same rows again;
+    after it, none again. Digests are stored by the leading bits of their leaf, and a run reads those of
+    changed leaves only.
     """
 
     spark: SparkSession
@@ -131,41 +136,71 @@ class MerkleStore:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
+    def versions(self) -> dict[int, str]:
+        """Folders of the published versions by number. A pointer without content was never published."""
+        fs, path = self._fs()
+        at = path(f"{self.path}/published")
+        if not fs.exists(at):
+            return {}
+        read = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
+        found = {}
+        for s in fs.listStatus(at):
+            stream = fs.open(s.getPath())
+            folder = read(stream, "UTF-8")
+            stream.close()
+            if folder:
+                found[int(s.getPath().getName())] = f"{self.path}/{folder}"
+        return dict(sorted(found.items()))
+
+    def _next(self) -> int:
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+        at = path(f"{self.path}/published")
+        return max([int(s.getPath().getName()) for s in fs.listStatus(at)], default=0) + 1 if fs.exists(at) else 1
 
-    def digests(self, schema) -> DataFrame:
-        done = self.versions()
-        if not done:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{done[-1]}/digests")
+    def _publish(self, number: int, folder: str) -> None:
+        fs, path = self._fs()
+        try:
+            pointer = fs.create(path(f"{self.path}/published/{number}"), False)
+        except Exception as e:
+            raise RuntimeError("another run published this version") from e
+        pointer.writeBytes(folder)
+        pointer.close()
+
+    def digests(self, folder: str, prefixes: list[int] | None = None) -> DataFrame:
+        """Saved digests, of leaves with the given leading bits only."""
+        saved = self.spark.read.parquet(f"{folder}/digests")
+        return saved if prefixes is None else saved.where(F.col("prefix").isin(prefixes))
 
     def _due(self, digests: DataFrame, key: str) -> DataFrame:
-        done = self.versions()
+        done = list(self.versions().values())
         if not done:
             return digests.select(key)
-        tree = self.spark.read.parquet(f"{self.path}/v{done[-1]}/tree")
+        tree = self.spark.read.parquet(f"{done[-1]}/tree")
         depth = tree.agg(F.max("level")).first()[0]
         if depth is None:  # nothing was saved
             return digests.select(key)
-        return due_since(digests, tree, lambda leaves: with_leaf(self.digests(digests.schema), depth, key).join(leaves, "leaf", "left_semi"), depth, key)
+
+        def saved(leaves: DataFrame) -> DataFrame:
+            prefixes = [r[0] for r in leaves.select(_prefix(depth).alias("p")).distinct().collect()]  # at most 2**PREFIX_BITS
+            return self.digests(done[-1], prefixes).join(leaves, "leaf", "left_semi")
+
+        return due_since(digests, tree, saved, depth, key)
 
     def run(self, df: DataFrame, fields: list[str], work, key: str = "id") -> DataFrame:
         """Output of ``work`` over the due rows of ``df`` (one row a key)."""
         digests = materialise(row_digests(df, fields, key).where(F.col(key).isNotNull()), "digests")
         due = self._due(digests, key)
-        version = (self.versions() or [0])[-1] + 1
-        hidden, final = f"{self.path}/.v{version}", f"{self.path}/v{version}"
-        fs, path = self._fs()
-        fs.delete(path(hidden), True)
-        work(df.join(due, key, "left_semi")).write.parquet(f"{hidden}/output")
-        digests.write.parquet(f"{hidden}/digests")
+        number, folder = self._next(), uuid.uuid4().hex
+        at = f"{self.path}/{folder}"
+        work(df.join(due, key, "left_semi")).write.parquet(f"{at}/output")
         depth = depth_for(digests.count())
-        build_tree(with_leaf(digests, depth, key), depth, key).write.parquet(f"{hidden}/tree")
-        if fs.exists(path(final)) or not fs.rename(path(hidden), path(final)):
-            raise RuntimeError("another run published this version")
-        return self.spark.read.parquet(f"{final}/output")
+        placed = with_leaf(digests, depth, key)
+        placed.withColumn("prefix", _prefix(depth)).repartition("prefix").write.partitionBy("prefix").parquet(f"{at}/digests")
+        build_tree(placed, depth, key).write.parquet(f"{at}/tree")
+        self._publish(number, folder)
+        return self.spark.read.parquet(f"{at}/output")
+
+
+def _prefix(depth: int):
+    """The leading bits of a leaf of a tree of this depth, by which digests are stored."""
+    return F.shiftrightunsigned("leaf", max(0, ARITY_BITS * depth - PREFIX_BITS)).cast("int")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.workspace import materialise
+
 POOL = 15_000
 STRATEGIES = ("random", "stratified", "proportional", "diverse", "temporal")
 
@@ -20,9 +22,11 @@ def random_sample(df: DataFrame, size: int, seed: int = 42, key: str = "id") ->
     return df.orderBy(order_key(seed, key), key).limit(size)
 
 
-def _first_per(df: DataFrame, by, size, seed: int, key: str) -> DataFrame:
+def _first_per(df: DataFrame, by, size: int, seed: int, key: str, quota: str | None = None) -> DataFrame:
+    """The first ``size`` rows of each group; the limit is a number, so it holds before the shuffle too. ``quota`` limits groups further."""
     w = Window.partitionBy(*by).orderBy(order_key(seed, key), key)
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= size).drop("__r")
+    ranked = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= size)
+    return (ranked if quota is None else ranked.where(F.col("__r") <= F.col(quota))).drop("__r")
 
 
 def stratified_sample(df: DataFrame, size: int, by: str = "source", allocation: str = "equal", seed: int = 42, key: str = "id") -> DataFrame:
@@ -30,10 +34,13 @@ def stratified_sample(df: DataFrame, size: int, by: str = "source", allocation:
     if allocation == "equal":
         strata = df.select(by).distinct().count()
         return _first_per(df, [by], size // strata if strata else 0, seed, key)
-    counts = df.groupBy(F.col(by).alias("__s")).agg(F.count("*").alias("__n"))
-    total = df.count()
-    quota = df.join(F.broadcast(counts), F.col(by).eqNullSafe(F.col("__s"))).withColumn("__q", F.floor(F.col("__n") * size / F.lit(max(total, 1)) + 0.5))
-    return _first_per(quota, [by], F.col("__q"), seed, key).drop("__s", "__n", "__q")
+    counts = materialise(df.groupBy(F.col(by).alias("__s")).agg(F.count("*").alias("__n")), "strata")
+    total, largest = counts.agg(F.sum("__n"), F.max("__n")).first()
+    quota = F.floor(F.col("__n") * size / F.lit(max(total or 0, 1)) + 0.5)
+    # a stratum without a place has no rows in the sample; there are at most 2 * size others
+    wanted = counts.withColumn("__q", quota).where(F.col("__q") > 0)
+    rows = df.join(F.broadcast(wanted), F.col(by).eqNullSafe(F.col("__s")))
+    return _first_per(rows, [by], int((largest or 0) * size / max(total or 0, 1) + 0.5), seed, key, "__q").drop("__s", "__n", "__q")
 
 
 def temporal_sample(df: DataFrame, per_window: int, at: str, width: str = "1 day", seed: int = 42, key: str = "id") -> DataFrame:
@@ -62,6 +69,11 @@ def diverse_sample(df: DataFrame, size: int, vector: str = "embedding", seed: in
     return df.join(F.broadcast(chosen), key)  # at most POOL ids
 
 
+def capped(df: DataFrame, most: int, order: str = "id", seed: int = 42, key: str = "id") -> DataFrame:
+    """At most ``most`` rows, chosen by hash, in their original order; 0 keeps all. A cap for engines that hold all in memory: off by default."""
+    return df if most <= 0 else random_sample(df, most, seed, key).orderBy(order)
+
+
 def sample(df: DataFrame, size: int, strategy: str = "random", seed: int = 42, key: str = "id", **options) -> DataFrame:
     """Dispatch by name; a size of 0 or one that isn't smaller than the table keeps all, an unknown name is random."""
     if size <= 0 or df.count() <= size:

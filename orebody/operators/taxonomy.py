@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,35 +14,44 @@ from orebody.functions.vocabulary import DEFAULT, LABEL_KEYWORDS
 THRESHOLDS = {"mode": (1.0, "unknown"), "posture": (1.0, "unknown"), "topic": (2.0, "general")}
 
 
-def score(text: Column, signals: list[tuple[str, float]]) -> Column:
-    """Sum of the weights of the phrases that occur in the lower-cased text, once each."""
-    return reduce(lambda a, b: a + b, (F.when(F.contains(text, F.lit(p)), w).otherwise(0.0) for p, w in signals), F.lit(0.0))
+MODES, POSTURES = (*DEFAULT["mode"], "unknown"), (*DEFAULT["posture"], "unknown")
+ANOMALIES = ("label_mismatch", "source_oversampling", "summary_template_artifact", "mode_drift", "embedding_bias_suspected")
 
 
-def axis_scores(text: Column, axis: dict[str, list[tuple[str, float]]]) -> Column:
-    """Array of (score, candidate), best first; ties by name."""
-    entries = [F.struct((-score(text, s)).alias("neg"), F.lit(c).alias("candidate")) for c, s in axis.items()]
-    return F.transform(F.array_sort(F.array(*entries)), lambda e: F.struct((-e["neg"]).alias("score"), e["candidate"].alias("candidate")))
+def _axis(texts: list[str], axis: dict[str, list[tuple[str, float]]], least: float, neutral: str) -> tuple[np.ndarray, np.ndarray]:
+    """The best candidate of each text and its lead. A phrase counts once a text; ties go to the smaller name."""
+    names = sorted(axis)
+    scores = np.zeros((len(texts), max(len(names), 2)))
+    for c, name in enumerate(names):
+        for phrase, weight in axis[name]:
+            scores[:, c] += weight * np.fromiter((phrase in t for t in texts), bool, len(texts))
+    best, top = scores.argmax(axis=1), np.sort(scores, axis=1)[:, ::-1]
+    ok = (top[:, 0] >= least) & bool(names)
+    lead = np.where(ok, (top[:, 0] - top[:, 1]) / (top[:, 0] + 1e-9), 0.0)
+    return np.where(ok, np.array([*names, neutral], dtype=object)[np.minimum(best, len(names))], neutral), lead
 
 
 def classify(df: DataFrame, text: str, vocabulary: dict | None = None) -> DataFrame:
-    """Add ``topic``, ``mode``, ``posture`` and ``confidence``, from one column expression per phrase.
+    """Add ``topic``, ``mode``, ``posture`` and ``confidence``, in one pass over Arrow batches of lower-cased texts.
 
     An axis whose best score is below its threshold gets the neutral value and confidence 0; else its
     confidence is the lead over the second as a share of the best. Empty and null texts are neutral.
     """
     vocabulary = vocabulary or DEFAULT
-    df = df.withColumn("__t", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    for axis in ("topic", "mode", "posture"):
-        df = df.withColumn(f"__{axis}", axis_scores(F.col("__t"), vocabulary[axis]))
-    confidences = []
-    for axis in ("topic", "mode", "posture"):
-        least, neutral = THRESHOLDS[axis]
-        best, second = F.col(f"__{axis}")[0], F.coalesce(F.get(F.col(f"__{axis}"), F.lit(1))["score"], F.lit(0.0))
-        ok = best["score"] >= least
-        confidences.append(F.when(ok, (best["score"] - second) / (best["score"] + 1e-9)).otherwise(0.0))
-        df = df.withColumn(axis, F.when(ok, best["candidate"]).otherwise(neutral))
-    return df.withColumn("confidence", sum(confidences[1:], confidences[0]) / 3).drop("__t", "__topic", "__mode", "__posture")
+
+    @F.pandas_udf("struct<topic:string,mode:string,posture:string,confidence:double>")
+    def judged(column: pd.Series) -> pd.DataFrame:
+        texts, out, confidence = column.tolist(), {}, 0.0
+        for axis in ("topic", "mode", "posture"):
+            out[axis], lead = _axis(texts, vocabulary[axis], *THRESHOLDS[axis])
+            confidence = confidence + lead
+        return pd.DataFrame(out | {"confidence": confidence / 3})
+
+    name = "__judged"
+    while name in df.columns:
+        name += "_"
+    found = df.withColumn(name, judged(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    return found.withColumns({c: F.col(name)[c] for c in ("topic", "mode", "posture", "confidence")}).drop(name)
 
 
 def source_family(label: str | Column) -> Column:

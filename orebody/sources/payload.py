@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ PAYLOAD_SCHEMA = (
     "layer:string,tone:string,run_id:string,text:string,summary:string,canonical_statement:string,report:string,verdict:string,"
     "claims:array<string>,concepts:array<string>,echoes:array<string>,questions:array<string>,tags:array<string>>"
 )
+#: As points are stored: the unnamed vector in a dense field, or in the data field of older stores.
+STORED_SCHEMA = PAYLOAD_SCHEMA + ", dense array<float>, data array<float>"
+GREATEST_ID = Decimal(2**64 - 1)
 
 
 def _given(c: Column) -> Column:
@@ -47,10 +51,16 @@ def fragment(p: str = "payload") -> Column:
 
 
 def numeric_id(c: str | Column = "id") -> Column:
-    """A number stays; of a UUID the first 16 hex digits as an unsigned number; anything else is 0."""
+    """A number up to 2**64 - 1 stays; of a UUID the first 16 hex digits as an unsigned number; anything else is 0."""
     c = F.col(c) if isinstance(c, str) else c
     hex_ = F.substring(F.replace(c, F.lit("-"), F.lit("")), 1, 16)
-    return F.when(c.rlike(r"^\d{1,19}$"), c.cast("decimal(20,0)")).when(hex_.rlike("^[0-9a-fA-F]{16}$"), F.conv(hex_, 16, 10).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    number = F.when(c.rlike(r"^\d{1,20}$"), c.try_cast("decimal(20,0)"))
+    return F.when(number <= F.lit(GREATEST_ID), number).when(hex_.rlike("^[0-9a-fA-F]{16}$"), F.conv(hex_, 16, 10).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+
+
+def unnamed_vector(*columns: str) -> Column:
+    """The first of the columns that has numbers: the dense field before the one of older stores."""
+    return F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in columns])
 
 
 def chosen_vector(name: str = "", combine: bool = False) -> Column:
@@ -68,6 +78,8 @@ def chosen_vector(name: str = "", combine: bool = False) -> Column:
 def normalise_payload(raw: DataFrame, vector_name: str = "", combine: bool = False) -> DataFrame:
     """``(id, embedding, fragment, source, layer, run_id)`` of the raw points that have a vector."""
     f = lambda n: _given(F.col(f"payload.{n}"))
+    if "dense" in raw.columns:
+        raw = raw.withColumn("vector", unnamed_vector("dense", "vector", "data"))
     return raw.select(
         numeric_id().alias("id"), chosen_vector(vector_name, combine).alias("embedding"), fragment().alias("fragment"),
         F.coalesce(f("source"), f("source_file"), f("source_collection"), f("source_id"), F.lit("unknown")).alias("source"),
@@ -77,7 +89,7 @@ def normalise_payload(raw: DataFrame, vector_name: str = "", combine: bool = Fal
 
 def read_payloads(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Raw points of JSON lines; strict fails on a malformed line, else it is skipped."""
-    return spark.read.schema(PAYLOAD_SCHEMA).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    return spark.read.schema(STORED_SCHEMA).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
 def read_points(spark: SparkSession, path: str, limit: int = 0, strict: bool = True) -> DataFrame:
@@ -91,6 +103,14 @@ def host(url: str) -> str:
     return urlparse(url if "://" in url else f"//{url}").hostname or ""
 
 
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The stamps written below ``path``; none where nothing was stamped yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "id decimal(20,0), stamped_at timestamp, run_id string")
+    return spark.read.parquet(path)
+
+
 def unprocessed(points: DataFrame, ledger: DataFrame, key: str = "id") -> DataFrame:
     """Points without a stamp."""
     return points.join(ledger.select(key).distinct(), key, "left_anti")

@@ -22,6 +22,10 @@ class RunConfig:
     reasoner: object | None = None
     incremental: bool = False
     trigger_interval: str = ""
+    semantic_labels: bool = False
+    payload: bool = False
+    strict: bool = False
+    topology_cap: int = 0
 
     def validate(self) -> RunConfig:
         if self.sample_size < 0:

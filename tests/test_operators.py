@@ -1,21 +1,28 @@
+import http.server
 import itertools
+import json
+import os
+import shutil
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orebody.__main__ import arguments, main, settings
 from orebody.functions.text import words
 from orebody.functions.vectors import cosine, normalised
 from orebody.operators.anomalies import COLUMNS
-from orebody.operators.cluster import dbscan, pca_reduce
+from orebody.operators.cluster import centroids, dbscan, pca_reduce
 from orebody.operators.components import connected_components
 from orebody.operators.current import latest_rows
-from orebody.operators.incremental import MerkleStore, due_points, due_rows
+from orebody.operators.incremental import MerkleStore, _prefix, build_tree, changed_leaves, due_points, due_rows, with_leaf
 from orebody.operators.reasoning import OfflineReasoner, conclusion
 from orebody.operators.report import Report, export, finding_cluster, listed, search
 from orebody.operators.sampling import diverse_sample, order_key, sample
-from orebody.plans.pipeline import analyse
-from orebody.sources import payload
+from orebody.operators.taxonomy import classify
+from orebody.plans.pipeline import analyse, run_once, watch
+from orebody.sources import pages, payload
 from orebody.sources.batches import RunBatches
 from orebody.sources.settings import RunConfig, interval_seconds, load_env
 from orebody.streaming.points import arrivals, deliveries, point_stream, run_on
@@ -126,15 +133,86 @@ def test_merkle_store_descends_the_published_tree(spark, tmp_path):
     df = spark.range(500).withColumn("v", F.lit("a"))
     store.run(df.where("id < 0"), ["v"], lambda d: d)
     assert store.run(df, ["v"], lambda d: d).count() == 500
-    done = f"{tmp_path}/m/v2/digests"
+    done = f"{store.versions()[2]}/digests"
     kept = spark.createDataFrame(spark.read.parquet(done).collect(), spark.read.parquet(done).schema)
-    kept.withColumn("h1", F.lit(0).cast("long")).write.mode("overwrite").parquet(done)
+    kept.withColumn("h1", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("prefix").parquet(done)
     assert store.run(df, ["v"], lambda d: d).count() == 0
     more = df.unionByName(spark.range(500, 3000).withColumn("v", F.lit("a"))).where("id <> 7")
     assert sorted(r.id for r in store.run(more, ["v"], lambda d: d).collect()) == list(range(500, 3000))
     assert store.run(more.where("id > 9"), ["v"], lambda d: d).count() == 0
 
 
+def test_merkle_store_reads_digests_of_changed_leaves_only(spark, tmp_path):
+    """Digests stored under other leading bits may be gone; a pointer without content isn't a version."""
+    store = MerkleStore(spark, f"file://{tmp_path}/m")
+    df = spark.range(20_000).withColumn("v", F.lit("a"))
+    store.run(df, ["v"], lambda d: d.select("id"))
+    folder = store.versions()[1].removeprefix("file://")
+    depth = spark.read.parquet(f"{folder}/tree").agg(F.max("level")).first()[0]
+    keep = with_leaf(df, depth).where("id = 77").select(_prefix(depth)).first()[0]
+    stored = [p for p in os.listdir(f"{folder}/digests") if p.startswith("prefix=")]
+    assert len(stored) > 100
+    for p in stored:
+        if p != f"prefix={keep}":
+            shutil.rmtree(f"{folder}/digests/{p}")
+    (tmp_path / "m/published/2").write_text("")
+    changed = df.withColumn("v", F.when(F.col("id") == 77, "b").otherwise(F.col("v")))
+    assert [r.id for r in store.run(changed, ["v"], lambda d: d.select("id")).collect()] == [77]
+    assert list(store.versions()) == [1, 3]
+
+
+def test_two_runs_cannot_publish_one_version(spark, tmp_path):
+    store = MerkleStore(spark, f"file://{tmp_path}/m")
+    store._publish(1, "a")
+    with pytest.raises(RuntimeError):
+        store._publish(1, "b")
+    assert store.versions() == {1: f"file://{tmp_path}/m/a"}
+
+
+def test_descent_grows_with_depth_only(spark):
+    rows = spark.range(1000).select("id", F.xxhash64("id").alias("h1"), F.lit(1).cast("long").alias("h2"))
+    tree = build_tree(with_leaf(rows, 6), 6)
+    plan = changed_leaves(tree, tree, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") < 20
+
+
+def test_components_over_many_files(spark):
+    """Tasks that see only some of the edges agree in the end."""
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (350, 2))] + [(1000 + i, 1001 + i) for i in range(200)]
+    parent = {v: v for e in edges for v in e}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {v: root(v) for e in edges if e[0] != e[1] for v in e}
+
+
+def test_dbscan_of_copies(spark):
+    """Equal vectors count as many times as they occur; a null vector is noise."""
+    x = [[1.0, 0.0]] * 4 + [[0.0, 1.0]] * 2 + [[0.1, 1.0], [-1.0, 0.0]]
+    df = spark.createDataFrame([*enumerate(x), (8, None)], "id long, embedding array<double>")
+    found = {r.id: (r.cluster_id, r.is_core) for r in dbscan(df, 0.01, 2).collect()}
+    assert found == {**{i: (1, True) for i in range(4)}, 4: (2, True), 5: (2, True), 6: (2, True), 7: (-1, False), 8: (-1, False)}
+    given = spark.createDataFrame([(0, 1, 0.0), (1, 2, 0.0)], "s long, t long, distance double")
+    assert {r.id: (r.cluster_id, r.is_core) for r in dbscan(df.where("id < 4"), 0.01, 2, edges=given).collect()} == {0: (1, False), 1: (1, True), 2: (1, False), 3: (-1, False)}
+
+
+def test_centroids_of_mixed_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0]), (1, None), (1, [None, 4.0]), (None, [1.0])], "cluster_id int, embedding array<double>")
+    assert [tuple(r) for r in centroids(df).collect()] == [(1, [2.0, 3.0])]
+
+
 def test_diverse_sample_is_farthest_first(spark):
     x = np.random.default_rng(2).normal(size=(40, 3))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
@@ -184,6 +262,111 @@ def test_whole_analysis(spark, tmp_path):
     assert '"count": 3' in open(name).read()
 
 
+def _run_folder(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(3, 8)), 20, axis=0) + 0.05 * rng.normal(size=(60, 8))
+    rows = [(i, i, v.tolist(), f"Theorem and proof {i}", "s", "deep", "") for i, v in enumerate(x)]
+    spark.createDataFrame(rows, POINTS).write.parquet(f"{tmp_path}/points")
+    return RunConfig(source=f"{tmp_path}/points", output_dir=f"{tmp_path}/out", epsilon=0.1, min_pts=3, incremental=True, semantic_labels=True, reasoner=OfflineReasoner())
+
+
+def test_incremental_runs(spark, tmp_path):
+    """The second run has nothing to do; a point that comes later is taken by the third."""
+    config = _run_folder(spark, tmp_path)
+    first = run_once(spark, config)
+    assert first.points == 60
+    document = json.load(open(f"{first.report}/report.json"))
+    assert document["summary"]["total_clusters"] == 3 == len(document["clusters"]) and all("Conclusion" in c["reasoning"] for c in document["clusters"])
+    stored = spark.read.parquet(f"{tmp_path}/out/findings/findings")
+    assert {"cluster_analysis", "moat_analysis"} & {r.type for r in stored.collect()} and stored.where("finding_id is null").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/out/findings/members").select("member_id").distinct().count() == 60
+    assert run_once(spark, config).points == 0
+    spark.createDataFrame([(99, 99, [1.0] * 8, "x", "s", "deep", "")], POINTS).write.mode("append").parquet(f"{tmp_path}/points")
+    assert run_once(spark, config).points == 1
+
+
+def test_watch_goes_on_after_a_failure():
+    done, slept = [], []
+
+    def job():
+        done.append(1)
+        if len(done) == 2:
+            raise ValueError("once")
+
+    assert watch(job, "5m", cycles=3, sleep=slept.append) == 2 and slept == [300, 300]
+    assert watch(job, "1s", stopped=lambda: True) == 0
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    config = _run_folder(spark, tmp_path)
+    monkeypatch.chdir(tmp_path)
+    args = ["run", config.source, "--output", config.output_dir, "--epsilon", "0.1", "--min-cluster-size", "3", "--incremental", "--offline-reasoner", "--semantic-labels", "--watch", "250ms", "--cycles", "1", "--strategy", "diverse", "--sample", "50"]
+    assert main(args) == 0
+    said = capsys.readouterr().out
+    assert "50 points analysed" in said and "## Moats" in said
+    folder = next(f"{config.output_dir}/{f}" for f in os.listdir(config.output_dir) if f[:2] == "20")
+    assert main(["query", folder, "--topic", "mathematics"]) == 0 and "mathematics" in capsys.readouterr().out
+    assert main(["search", folder, "cluster"]) == 0 and '"kind":"cluster"' in capsys.readouterr().out
+    assert main(["export", folder, "moats", "--folder", f"{tmp_path}/x"]) == 0
+    name = capsys.readouterr().out.strip()
+    assert json.load(open(name))["count"] == len(json.load(open(name))["items"])
+    assert settings(arguments().parse_args(["run", "x", "--payload", "--vector-name", "a", "--vector-combine", "--strict", "--topology-cap", "7"])).topology_cap == 7
+    with pytest.raises(ValueError):
+        settings(arguments().parse_args(["run", "x", "--watch", "soon"]))
+
+
+def test_points_from_pages(spark):
+    """Pages over HTTP, one of which fails at first; the tasks read them."""
+    points = [{"id": str(i), "dense": [float(i), 1.0], "data": [9.0], "payload": {"text": f"t{i}"}} for i in range(7)]
+    failed = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            offset, limit = (int(self.path.split(f"{n}=")[1].split("&")[0]) for n in ("offset", "limit"))
+            if offset == 3 and not failed:
+                failed.append(1)
+                return self.send_error(500)
+            body = json.dumps(points[offset : offset + limit]).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(pages.PageSource)
+        url = f"http://127.0.0.1:{server.server_port}/?offset={{offset}}&limit={{limit}}"
+        raw = pages.stored(spark.read.format("orebody_pages").options(url=url, total=7, page=3).load())
+        found = payload.normalise_payload(raw).orderBy("id").collect()
+        assert [(int(r.id), r.embedding, r.fragment) for r in found] == [(i, [float(i), 1.0], f"t{i}") for i in range(7)]
+        gone = spark.read.format("orebody_pages").options(url="http://127.0.0.1:1/{offset}{limit}", total=3, page=3, strict="false", tries=1).load()
+        assert gone.count() == 0
+    finally:
+        server.shutdown()
+
+
+def test_ids_and_stored_fields(spark):
+    df = spark.createDataFrame([("18446744073709551615",), ("99999999999999999999",), ("00000000000000000007",), (None,)], "id string")
+    assert [str(r[0]) for r in df.select(payload.numeric_id()).collect()] == ["18446744073709551615", str(0x9999999999999999), "7", "0"]
+
+
+def test_payload_lines_strict_and_not(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"id": "1", "vector": [1.0], "payload": {"text": "a"}}\n{"id": "2", \n')
+    assert payload.read_payloads(spark, str(tmp_path / "p.json")).count() in (1, 2)
+    assert payload.normalise_payload(payload.read_payloads(spark, str(tmp_path / "p.json"))).count() == 1
+    with pytest.raises(Exception):
+        payload.read_payloads(spark, str(tmp_path / "p.json"), strict=True).collect()
+
+
+def test_classifier_without_text(spark):
+    df = spark.createDataFrame([(1, None, "kept"), (2, "", "kept"), (3, "x" * 200_000 + " qualia", "kept")], "id long, text string, __judged string")
+    rows = classify(df, "text").orderBy("id").collect()
+    assert [(r.topic, r.mode, r.posture, round(r.confidence, 4), r["__judged"]) for r in rows] == [("general", "unknown", "unknown", 0, "kept")] * 2 + [("consciousness_philosophy", "unknown", "unknown", 0.3333, "kept")]
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([("Cluster 4: x", [9], "a **Conclusion:** **One** thing. Two."), ("Moat: 2 ↔ 3", [9], "no"), ("other", [9], "b. c"), ("other", [], "")], "subject string, clusters array<int>, chain string")
     rows = df.select(finding_cluster().alias("c"), conclusion("chain").alias("l")).collect()
