@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from orebody.llm._util import DIM, hash_sample, unit
 from orebody.llm.neighbours import _blocks, balanced_centroids
 from orebody.llm.vectors import current_codes, decode, exact_similarities, stored_vectors
-from orebody.operators.components import connected_components
+from orebody.operators.components import connected_components, forest
 from orebody.workspace import materialise
 
 FEATURES = 32
 CHOICE_ROUNDS, MAX_ROUNDS = 2, 8
-GAIN = 0.01  # of the log likelihood of a row, under which fitting ends
+GAIN = 0.1  # of the log likelihood of a row, under which fitting ends
 START_ROWS, START_PER_COMPONENT = 16_384, 8
 SHRINK = 40.0
 REPRESENTATIVES = 8
@@ -61,6 +61,11 @@ def _total(df: DataFrame, partial, width: int, parts: int = 8, step: int = 4096)
     return sum((np.frombuffer(r[0]) for r in sums.toLocalIterator()), np.zeros(width))
 
 
+def _powers(f: np.ndarray) -> np.ndarray:
+    """Squares, numbers and one of each row: products with them are densities, or the sums that a fit needs."""
+    return np.concatenate([f * f, f, np.ones((len(f), 1), f.dtype)], axis=1)
+
+
 @dataclass
 class Mixture:
     """Standardising projection and the parameters of a diagonal mixture."""
@@ -78,9 +83,12 @@ class Mixture:
 
     def log_parts(self, f: np.ndarray) -> np.ndarray:
         """Log of weight times density, row by component."""
-        inverse = (1 / self.variance).astype(np.float32)
+        return _powers(f) @ self.factors()
+
+    def factors(self) -> np.ndarray:
+        """What the powers of a row are multiplied with."""
         const = np.log(np.maximum(self.weight, 1e-12)) - 0.5 * (np.log(2 * np.pi * self.variance) + self.centre**2 / self.variance).sum(axis=1)
-        return (f * f) @ (-0.5 * inverse.T) + f @ (self.centre.astype(np.float32) * inverse).T + const.astype(np.float32)
+        return np.concatenate([-0.5 / self.variance, self.centre / self.variance, const[:, None]], axis=1).T.astype(np.float32)
 
     def update(self, n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> Mixture:
         rows = n.sum()
@@ -139,14 +147,16 @@ def fit_mixture(codes: DataFrame, rows: int) -> Mixture:
 
         def expectation(x: np.ndarray) -> np.ndarray:
             out = []
-            f = sent.value[0].features(x)
+            powers = _powers(sent.value[0].features(x))
             for g in sent.value:
-                p = g.log_parts(f)
+                p = powers @ g.factors()
                 most = p.max(axis=1, keepdims=True)
-                p = np.exp(p - most)
+                p -= most
+                np.exp(p, out=p)
                 total = p.sum(axis=1, keepdims=True)
-                p /= total
-                out += [p.sum(axis=0, dtype=np.float64), (p.T @ f).astype(np.float64).ravel(), (p.T @ (f * f)).astype(np.float64).ravel(), [float((np.log(total) + most).sum(dtype=np.float64))]]
+                sums = (p.T @ (powers / total)).astype(np.float64)
+                d = (powers.shape[1] - 1) // 2
+                out += [sums[:, -1], sums[:, d:-1].ravel(), sums[:, :d].ravel(), [float((np.log(total) + most).sum(dtype=np.float64))]]
             return np.concatenate(out)
 
         sums, at, fitted = _total(codes, expectation, width, step=_chunk(max(k for k, _ in shape))), 0, []
@@ -167,20 +177,6 @@ def fit_mixture(codes: DataFrame, rows: int) -> Mixture:
     return models[0]
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each node's component, by repeated minima and halving."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _comparison(similarity: float):
     """Links of the rows of one block: a forest of what is similar for sure, and the pairs that codes leave open."""
 
@@ -205,7 +201,7 @@ def _comparison(similarity: float):
         empty = np.empty((2, 0), np.int64)
         a, b = np.concatenate(sure, axis=1) if sure else empty
         names, place_ = np.unique(ids, return_inverse=True)  # an asking row is a member too
-        label = _forest(len(names), place_[a], place_[b])
+        label = forest(len(names), place_[a], place_[b])
         tied = np.flatnonzero(label != np.arange(len(names)))
         u, v = np.concatenate(maybe, axis=1) if maybe else empty
         u, v = place_[u], place_[v]
@@ -296,7 +292,7 @@ class Clusters:
             x, lost = decode([r[2] for r in rows])
             ids = np.array([r[1] for r in rows])
             a, b = np.nonzero(x @ x.T - (lost[:, None] + lost) * 1.05 >= similarity)
-            known[c] = (ids, x, lost, ids[_forest(len(ids), a, b)])
+            known[c] = (ids, x, lost, ids[forest(len(ids), a, b)])
         stand, step = self.spark.sparkContext.broadcast(known), _chunk(k)
 
         def explain(batches):
