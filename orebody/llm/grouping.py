@@ -29,7 +29,7 @@ from orebody.workspace import materialise
 
 FEATURES = 32
 CHOICE_ROUNDS, MAX_ROUNDS = 2, 8
-GAIN = 0.1  # of the log likelihood of a row, under which fitting ends
+GAIN = 0.05  # of the log likelihood of a row, under which fitting ends
 START_ROWS, START_PER_COMPONENT = 16_384, 8
 SHRINK = 40.0
 REPRESENTATIVES = 8
@@ -40,7 +40,7 @@ SEED = 41
 
 def _chunk(components: int) -> int:
     """Rows whose densities under all components are held at once."""
-    return min(4096, max(64, (1 << 23) // components))
+    return min(4096, max(64, (1 << 19) // components))
 
 
 def _total(df: DataFrame, partial, width: int, parts: int = 8, step: int = 4096) -> np.ndarray:
@@ -152,6 +152,7 @@ def fit_mixture(codes: DataFrame, rows: int) -> Mixture:
                 p = powers @ g.factors()
                 most = p.max(axis=1, keepdims=True)
                 p -= most
+                np.maximum(p, -50, out=p)  # products of numbers near the least ones take a hundred times as long
                 np.exp(p, out=p)
                 total = p.sum(axis=1, keepdims=True)
                 sums = (p.T @ (powers / total)).astype(np.float64)
