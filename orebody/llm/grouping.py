@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from orebody.llm._util import DIM, hash_sample, unit
 from orebody.llm.neighbours import _blocks, balanced_centroids
-from orebody.llm.vectors import current_codes, decode, exact_similarities, stored_vectors
+from orebody.llm.vectors import CODE_BYTES, current_codes, decode, decoded, exact_similarities, raw_rows, stored_vectors
 from orebody.operators.components import connected_components, forest
 from orebody.workspace import materialise
 
@@ -183,16 +183,20 @@ def _comparison(similarity: float):
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        ids, raw = table.column("id").to_numpy(zero_copy_only=False), table.column("code").to_pylist()
-        root = np.array([int.from_bytes(r[-8:], "little", signed=True) for r in raw])
-        x, lost = decode([r[:-8] for r in raw])
-        q, m = np.flatnonzero(asks), np.flatnonzero(table.column("member").to_numpy(zero_copy_only=False).astype(bool))
+        ids, raw = table.column("id").to_numpy(zero_copy_only=False), raw_rows(table.column("code"), CODE_BYTES + 8)
+        root = np.ascontiguousarray(raw[:, CODE_BYTES:]).view("<i8")[:, 0]
+        x, lost = decoded(raw)
+        member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
+        # where asking rows are members too, each pair of them is compared once: rows before it are done
+        done = 512 if (asks & member).any() else 0
+        q, m = np.flatnonzero(asks), np.concatenate([np.flatnonzero(asks & member), np.flatnonzero(~asks & member)])
+        x_q, x_m, worst = x[q], x[m], lost.max(initial=0)
         sure, maybe = [], []
-        for i in range(0, len(q), 512):
-            own = q[i : i + 512]
-            s = x[own] @ x[m].T
-            r, c = np.nonzero(s >= similarity - 1.05 * (lost[own].max() + lost.max()))
-            a, b = own[r], m[c]
+        for n, i in enumerate(range(0, len(q), 512)):
+            own, others = q[i : i + 512], m[n * done :]
+            s = x_q[i : i + 512] @ x_m[n * done :].T
+            r, c = np.nonzero(s >= similarity - 1.05 * (lost[own].max() + worst))
+            a, b = own[r], others[c]
             off = 1.05 * (lost[a] + lost[b])
             other = (ids[a] != ids[b]) & ((root[a] != root[b]) | (root[a] == NONE))
             value = s[r, c]

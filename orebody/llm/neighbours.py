@@ -266,7 +266,7 @@ class VectorIndex:
         def group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             """Pairs with bounds; rows without c are queries with too many, rows without q what these need."""
             asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            ids, (x, lost) = table.column("id").to_numpy(zero_copy_only=False), decode(table.column("code").to_pylist())
+            ids, (x, lost) = table.column("id").to_numpy(zero_copy_only=False), decode(table.column("code"))
             m, q = np.flatnonzero(~asks), np.flatnonzero(asks)
             pairs, left_over, needed = [], [], np.zeros(len(m), bool)
             for i in range(0, len(q) if len(m) else 0, 512):

@@ -56,7 +56,7 @@ def _select(rows: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         table = table.take(pa.array(order))
-        x = decode(table.column("code").to_pylist())[0]
+        x = decode(table.column("code"))[0]
         must = np.flatnonzero(table.column("must").to_numpy(zero_copy_only=False).astype(bool))
         taken, nearest = farthest_order(x, must, max(int(table.column("size")[0].as_py()), len(must)))
         return pa.table({"id": table.column("id").take(pa.array(taken)), "nearest": pa.array(np.where(np.isin(taken, must), -2.0, nearest))})

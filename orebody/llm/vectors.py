@@ -37,14 +37,31 @@ def encode(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(codes) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in float32, and what the rounding lost, of a binary Arrow or object column."""
-    raw = np.frombuffer(b"".join(codes.to_pylist() if hasattr(codes, "to_pylist") else codes), np.uint8).reshape(-1, CODE_BYTES)
+def raw_rows(column, width: int) -> np.ndarray:
+    """The bytes of a binary Arrow column without nulls whose values are all ``width`` long, a row a value."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    if not len(column):
+        return np.empty((0, width), np.uint8)
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[start : start + len(column) * width].reshape(-1, width)
+
+
+def decoded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``decode`` of rows of bytes, of which those behind a code are left alone."""
     step = np.ascontiguousarray(raw[:, DIM : DIM + 4]).view(np.float32)
-    lost = np.ascontiguousarray(raw[:, DIM + 4 :]).view(np.float32)[:, 0]
+    lost = np.ascontiguousarray(raw[:, DIM + 4 : CODE_BYTES]).view(np.float32)[:, 0]
     return np.ascontiguousarray(raw[:, :DIM]).view(np.int8).astype(np.float32) * step, lost
 
 
+def decode(codes) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in float32, and what the rounding lost, of a binary Arrow column or a list of bytes."""
+    if isinstance(codes, (pa.Array, pa.ChunkedArray)):
+        return decoded(raw_rows(codes, CODE_BYTES))
+    return decoded(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, CODE_BYTES))
+
+
 def binary(rows: np.ndarray) -> pa.Array:
     n, width = rows.shape
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
