@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.llm._util import DIM, hash_sample, unit
-from orebody.llm.neighbours import _blocks, balanced_centroids
+from orebody.llm.neighbours import _blocks, balanced_centroids, in_blocks
 from orebody.llm.vectors import CODE_BYTES, current_codes, decode, decoded, exact_similarities, raw_rows, stored_vectors
 from orebody.operators.components import connected_components, forest
 from orebody.workspace import materialise
@@ -355,7 +355,7 @@ class Clusters:
         right = _blocks(cells.where(is_split & F.col("asks")), "q_block", "block", asking, members, k, CELL_ROWS).withColumns({"asks": F.lit(True), "member": F.lit(False)})
 
         sides = whole.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns))
-        found = sides.groupBy("list", "block", "q_block").applyInArrow(_comparison(similarity), "a long, b long, sure boolean")
+        found = in_blocks(sides, members, asking, CELL_ROWS).applyInArrow(_comparison(similarity), "a long, b long, sure boolean")
         found = materialise(found, "links")
         copies = self.codes.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
         copies = self.codes.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select(F.col("id").alias("a"), "b")
@@ -426,7 +426,7 @@ class Clusters:
         sides = [(placed.select("list", "id").join(full, "id"), "block", "q_block", members, asks, False), (asked.join(full, "id"), "q_block", "block", asks, members, True)]
         columns = ["list", "block", "q_block", "asks", "member", "id", "code"]
         left, right = (_blocks(df, mine, other, n, m, len(pivots), CELL_ROWS).withColumns({"asks": F.lit(side), "member": F.lit(not side)}).select(columns) for df, mine, other, n, m, side in sides)
-        found = left.unionByName(right).groupBy("list", "block", "q_block").applyInArrow(_comparison(similarity), "a long, b long, sure boolean")
+        found = in_blocks(left.unionByName(right), members, asks, CELL_ROWS).applyInArrow(_comparison(similarity), "a long, b long, sure boolean")
         found = materialise(found, "links")
         return self._joined(labels, found.where("not sure"), found.where("sure"))
 

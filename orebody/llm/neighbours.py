@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.llm._util import DIM, hash_sample, unit
-from orebody.llm.vectors import current_codes, decode, exact_similarities, stored_vectors
+from orebody.llm.vectors import CODE_BYTES, current_codes, decode, exact_similarities, stored_vectors
 from orebody.workspace import materialise
 
 FIT_ROWS = 16_384
@@ -30,6 +30,7 @@ LIST_ROWS = 384
 LISTS_PER_ROOT = 6.5
 FLAT = 4096  # centroids up to which all are compared with all when they are fitted
 BLOCK = 4096
+TASK_BYTES = 8_000_000
 MANY = 256
 SEED = 31
 
@@ -170,7 +171,7 @@ def opened(graph: CentroidGraph, q: np.ndarray, most: int, ratio: float) -> tupl
 
 
 def _routed(codes: DataFrame, graph, choose, most: int, ratio: float) -> DataFrame:
-    """``(list, id, code)`` for each list of each row."""
+    """``(list, id, code, near)`` for each list of each row; ``near`` is its first, the nearest."""
 
     def run(batches):
         for b in batches:
@@ -179,9 +180,9 @@ def _routed(codes: DataFrame, graph, choose, most: int, ratio: float) -> DataFra
                 part = b.slice(i, step)
                 row, list_ = choose(graph.value, decode(part.column(1))[0], most, ratio)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), part.column(0).take(at), part.column(1).take(at)], ["list", "id", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), part.column(0).take(at), part.column(1).take(at), pa.array(np.r_[True, row[1:] != row[:-1]][: len(row)])], ["list", "id", "code", "near"])
 
-    return codes.select("id", "code").mapInArrow(run, "list int, id long, code binary")
+    return codes.select("id", "code").mapInArrow(run, "list int, id long, code binary, near boolean")
 
 
 def _sizes(routed: DataFrame, lists: int) -> np.ndarray:
@@ -191,18 +192,26 @@ def _sizes(routed: DataFrame, lists: int) -> np.ndarray:
     return out
 
 
-def _blocks(df: DataFrame, own: str, other: str, own_n, other_n, lists: int, rows: int = BLOCK) -> DataFrame:
+def _blocks(df: DataFrame, own: str, other: str, own_n, other_n, lists: int, rows: int = BLOCK, *extra: str) -> DataFrame:
     """Rows of one side with (block of this side, block of the other side): bounded groups, hot lists split."""
     spark = df.sparkSession
     splits = [(i, max(1, math.ceil(own_n[i] / rows)), max(1, math.ceil(other_n[i] / rows))) for i in range(lists) if own_n[i] > rows or other_n[i] > rows]
     table = F.broadcast(spark.createDataFrame(splits or [(-1, 1, 1)], "list int, own_blocks int, other_blocks int"))  # only lists that are split
     df = df.join(table, "list", "left")
     mine = F.pmod(F.xxhash64("id"), F.coalesce("own_blocks", F.lit(1))).cast("int").alias(own)
-    return df.select("list", "id", "code", mine, F.explode(F.sequence(F.lit(0), F.coalesce("other_blocks", F.lit(1)) - 1)).alias(other))
+    return df.select("list", "id", "code", *extra, mine, F.explode(F.sequence(F.lit(0), F.coalesce("other_blocks", F.lit(1)) - 1)).alias(other))
 
 
-def possible(s: np.ndarray, error: np.ndarray, k: int, floor: float) -> np.ndarray:
-    """Which columns of each row may be among its k greatest and reach the floor, if ``s`` is off by at most ``error``."""
+def in_blocks(sides: DataFrame, own_n: np.ndarray, other_n: np.ndarray, rows: int):
+    """Both sides grouped by block, in so many partitions that a task reads about TASK_BYTES whatever the session's setting is."""
+    own_blocks, other_blocks = (np.maximum(1, -(-n // rows)) for n in (own_n, other_n))
+    total = int((own_n * other_blocks + other_n * own_blocks).sum()) * (CODE_BYTES + 24)
+    parts = max(int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES))
+    return sides.repartition(parts, "list", "block", "q_block").groupBy("list", "block", "q_block")
+
+
+def possible(s: np.ndarray, error: np.ndarray, k: int, floor) -> np.ndarray:
+    """Which columns of each row may be among its k greatest and reach the floor (one, or a column of them), if ``s`` is off by at most ``error``."""
     high = s + error
     ok = high >= floor
     many = np.flatnonzero(ok.sum(axis=1) > k)
@@ -252,15 +261,39 @@ class VectorIndex:
         self.copies, self.copy_ratio = copies, copy_ratio
 
     def candidates(self, queries: DataFrame, k: int, open_lists: int, ratio: float, min_similarity: float | None) -> DataFrame:
-        """``(a, b)``, a < b: class representatives that may be neighbours of a query."""
+        """``(a, b)``, a < b: class representatives that may be neighbours of a query.
+
+        Without a floor the nearest list comes first: what it holds for sure is a floor for the others.
+        """
         postings = materialise(_routed(self.reps, self.sent, replicas, self.copies, self.copy_ratio), "postings")
         asked = materialise(_routed(queries, self.sent, opened, open_lists, ratio), "asked")
+        if min_similarity is not None:
+            pairs = self._met(postings, asked.withColumn("floor", F.lit(float(min_similarity))), k, min_similarity)
+        else:
+            low = self._best(self._met(postings, asked.where("near").withColumn("floor", F.lit(-2.5)), k, -2.5), k)
+            floors = low.where("r = 1").select(F.col("q").alias("id"), F.col("least").alias("floor"))
+            others = asked.where("not near").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.5)))
+            pairs = low.select("q", "c", "low", "high").unionByName(self._met(postings, others, k, -2.5))
+            pairs = self._best(pairs, k).where("least is null or high >= least")
+        return materialise(pairs.select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b")).distinct(), "candidates")
+
+    @staticmethod
+    def _best(pairs: DataFrame, k: int) -> DataFrame:
+        """Pairs once each with ``r``, their place among the query's by what is sure, and ``least``, what its k-th has for sure (null if there is none)."""
+        pairs = pairs.groupBy("q", "c").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+        ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "c")))
+        return materialise(ranked.withColumn("least", F.max(F.when(F.col("r") == k, F.col("low"))).over(Window.partitionBy("q"))), "best")
+
+    def _met(self, postings: DataFrame, asked: DataFrame, k: int, floor: float) -> DataFrame:
+        """``(q, c, low, high)``: members of the lists that may be among a query's k best of its block and reach its ``floor``."""
         members, asking = _sizes(postings, self.lists), _sizes(asked, self.lists)
-        left = _blocks(postings, "block", "q_block", members, asking, self.lists).withColumn("asks", F.lit(False))
-        right = _blocks(asked, "q_block", "block", asking, members, self.lists).withColumn("asks", F.lit(True))
-        floor = -2.5 if min_similarity is None else min_similarity
-        # without a floor far lists give many rows, of which the best of all lists spare most
-        most = MANY if min_similarity is None else 4 * k
+        wanted = postings.withColumn("floor", F.lit(0.0))
+        if (asking[members > 0] == 0).any():
+            wanted = wanted.join(F.broadcast(asked.select("list").distinct()), "list", "left_semi")  # a row a list
+        left = _blocks(wanted, "block", "q_block", members, asking, self.lists, BLOCK, "floor").withColumn("asks", F.lit(False))
+        right = _blocks(asked, "q_block", "block", asking, members, self.lists, BLOCK, "floor").withColumn("asks", F.lit(True))
+        # without a floor a block gives many rows, of which the best of all lists spare most
+        most = 4 * k if floor > -1 else MANY
         names = ["list", "block", "q_block", "q", "c", "low", "high"]
 
         def group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -268,13 +301,14 @@ class VectorIndex:
             asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
             ids, (x, lost) = table.column("id").to_numpy(zero_copy_only=False), decode(table.column("code"))
             m, q = np.flatnonzero(~asks), np.flatnonzero(asks)
+            floors = table.column("floor").to_numpy(zero_copy_only=False)
             pairs, left_over, needed = [], [], np.zeros(len(m), bool)
             for i in range(0, len(q) if len(m) else 0, 512):
                 own = q[i : i + 512]
                 s = x[own] @ x[m].T
                 s[ids[own][:, None] == ids[m][None, :]] = -3
                 error = (lost[own][:, None] + lost[m][None, :]) * np.float32(1.05) + np.float32(1e-5)
-                ok = possible(s, error, k, floor)
+                ok = possible(s, error, k, floors[own][:, None])
                 over = ok.sum(axis=1) > most
                 needed |= ok[over].any(axis=0)
                 left_over.append(ids[own[over]])
@@ -289,19 +323,13 @@ class VectorIndex:
             bounds = [pa.concat_arrays([pa.array(v.astype(np.float64)), pa.nulls(len(over) + len(need), pa.float64())]) for v in both[2:]]
             return pa.Table.from_arrays([*cells, qs, cs, *bounds], names)
 
-        columns = ["list", "block", "q_block", "asks", "id", "code"]
+        columns = ["list", "block", "q_block", "asks", "floor", "id", "code"]
         schema = "list int, block int, q_block int, q long, c long, low double, high double"
-        found = materialise(left.select(columns).unionByName(right.select(columns)).groupBy("list", "block", "q_block").applyInArrow(group, schema), "found")
+        sides = left.select(columns).unionByName(right.select(columns))
+        found = materialise(in_blocks(sides, members, asking, BLOCK).applyInArrow(group, schema), "found")
         pairs = found.where("q is not null and c is not null").select("q", "c", "low", "high")
         crowded = found.where("q is null or c is null")
-        if not crowded.isEmpty():
-            pairs = pairs.unionByName(self._crowded(crowded, k, floor))
-        if min_similarity is None:
-            pairs = pairs.groupBy("q", "c").agg(F.max("low").alias("low"), F.min("high").alias("high"))
-            ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "c")))
-            least = F.max(F.when(F.col("r") == k, F.col("low"))).over(Window.partitionBy("q"))
-            pairs = ranked.withColumn("least", least).where("least is null or high >= least")
-        return materialise(pairs.select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b")).distinct(), "candidates")
+        return pairs if crowded.isEmpty() else pairs.unionByName(self._crowded(crowded, k, floor))
 
     def _crowded(self, crowded: DataFrame, k: int, floor: float) -> DataFrame:
         """``(q, c, low, high)``: the k best of a block by exact cosine, for its queries whose codes leave too many possible."""
