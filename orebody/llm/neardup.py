@@ -93,7 +93,7 @@ def corpus_counts(sets: DataFrame, bits: int) -> np.ndarray:
         rows = [have[i * width : (i + 1) * width] for i in range(parts)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([_pack(r) for r in rows], pa.binary())], ["part", "counts"])
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum((_unpack(x, width).astype(np.uint64) for x in pdf["counts"]), np.zeros(width, np.uint64))
         scale = np.where(total > 0, np.minimum(1 + np.round(8 * np.log2(np.maximum(total, 1))), 255), 0).astype(np.uint8)
         return pd.DataFrame({"part": [int(key[0])], "counts": [scale.tobytes()]})

@@ -128,7 +128,7 @@ def only_ids(df: DataFrame, ids: DataFrame, expected: int, max_bits: int = 27) -
         rows = [zstandard.compress(packed[i * width : (i + 1) * width].tobytes(), 1) for i in range(parts)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(rows, pa.binary())], ["part", "marks"])
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(width, np.uint8)
         for m in pdf["marks"]:
             out |= np.frombuffer(zstandard.decompress(m, max_output_size=width), np.uint8)

@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from orebody.llm import leakage, neardup, neighbours, proportions, queries, repetition, variety
+from orebody.llm import grouping, leakage, mixing, neardup, neighbours, proportions, queries, repetition, variety
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = ("points", "documents", "eval_items", "sample_targets", "mix_targets")
@@ -81,10 +81,9 @@ def test_odd_rows_without_sql(name, odd, spark):
 def test_short_sources_by_count(spark):
     """Tokens by the same public tokenizer, summed in plain Python."""
     from orebody.functions.columns import source_category
-    from orebody.llm import mixing
 
     read = lambda t: spark.read.parquet(f"{SMALL}/{t}.parquet")
-    encode = mixing._encoding(mixing.TOKENIZER).encode_ordinary
+    encode = mixing._encoding(open(mixing.TOKENIZER, "rb").read()).encode_ordinary
     size = {}
     for r in read("documents").select(source_category().alias("s"), "text").collect():
         size[r.s] = size.get(r.s, 0) + len(encode(r.text or ""))
@@ -149,9 +148,9 @@ def test_only_copies_of_the_same_words_are_starred(spark):
     circle = lambda n: " ".join(f"w{i % 20}" for i in range(n))
     texts = [(i, circle(22 + i)) for i in range(6)] + [(10 + i, circle(60)) for i in range(5)] + [(20, circle(22) + " x y z")]
     found = neardup.NearDuplicates(spark.createDataFrame(texts, "id long, text string"), shingle=3, similarity=0.5, min_words=15)
-    every = [0, 1, 2, 3, 4, 5, 10, 20]  # ids 11 to 14 are copies of 10
-    want = {(a, b) for a in every for b in every if a < b} | {(10, i) for i in range(11, 15)}
-    pairs = [(r.id_a, r.id_b) for r in found.text_pairs(star_above=4).collect()]
+    every = [0, 1, 2, 3, 4, 5, 10, 11, 12, 13, 20]  # ids 11 to 14 are copies of 10, of which four have all pairs
+    want = {(a, b) for a in every for b in every if a < b} | {(10, 14)}
+    pairs = [(r.id_a, r.id_b) for r in found.text_pairs(copies=4).collect()]
     assert set(pairs) == want and len(pairs) == len(want)
     assert {(r.id_a, r.id_b) for r in found.text_pairs().collect()} == {(a, b) for a, _ in texts for b, _ in texts if a < b}
 
@@ -205,3 +204,257 @@ def test_repetition_threshold(spark):
     for c in ("lang", "source", "kind"):
         docs = docs.selectExpr("*", f"cast(null as string) as {c}")
     assert sorted(r.doc_id for r in repetition.repetitive(docs).collect()) == [2, 4]
+
+
+def test_pairs_of_a_large_class_have_one_form(spark):
+    """1,500 copies of a text, another text of the same runs, and a similar one: no link between different texts is lost."""
+    text = " ".join(f"w{i % 20}" for i in range(40))
+    texts = [(i, text) for i in range(1_500)] + [(5_000, text + " w0"), (6_000, text + " x y z")]
+    found = neardup.NearDuplicates(spark.createDataFrame(texts, "id long, text string"), shingle=3, similarity=0.5, min_words=15)
+    k = neardup.COPIES
+    want = {(i, j) for j in range(k) for i in range(j)} | {(0, j) for j in range(k, 1_500)} | {(i, j) for i in range(k) for j in (5_000, 6_000)} | {(5_000, 6_000)}
+    pairs = [(r.id_a, r.id_b) for r in found.text_pairs().collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+    groups = found.groups().collect()
+    assert len(groups) == 1_502 and {r.group_id for r in groups} == {0} and {r.class_id for r in groups} == {0, 6_000}
+
+
+def _usable(spark, d):
+    """Ids and unit vectors in double of the current usable points."""
+    rows = sorted({r.id: (r.seq, r.embedding) for r in spark.read.parquet(f"{d}/points.parquet").where("id is not null").orderBy("seq").collect()}.items())
+    rows = [(i, v) for i, (_, v) in rows if v is not None and len(v) == 96 and None not in v and any(v)]
+    x = np.array([v for _, v in rows], dtype=np.float64)
+    return np.array([i for i, _ in rows]), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_exact_neighbours_are_brute_force(spark):
+    """With one list opened nothing would be exact; with ``exact`` it is, with and without a floor."""
+    points = spark.read.parquet(f"{SMALL}/points.parquet")
+    ids, x = _usable(spark, SMALL)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    best = {int(ids[q]): [int(ids[j]) for j in np.lexsort((ids, -np.round(s[q], 12)))[:5]] for q in range(len(ids))}
+    index = neighbours.VectorIndex(points, list_rows=16)
+    assert index.lists > 10
+    found: dict = {}
+    for r in index.neighbours(5, exact=True).orderBy("id", "rank").collect():
+        found.setdefault(r.id, []).append(r.neighbour)
+    assert found == best
+    near = {(r.id, r.neighbour) for r in index.neighbours(5, min_similarity=0.95, exact=True).collect()}
+    of = {int(i): k for k, i in enumerate(ids)}
+    assert near == {(q, n) for q, row in best.items() for n in row if s[of[q], of[n]] >= 0.95} and near
+
+
+def test_exact_groups_are_those_of_sql(spark, sql):
+    """A mixture of few components, one a row, misses links; ``exact`` closes them."""
+    want = sorted(sql.execute(queries.ORACLES["p3_found"]).fetchall())
+    found = grouping.Clusters(spark.read.parquet(f"{SMALL}/points.parquet"), components=1, exact=True).members()
+    assert sorted((r.group_id, r.id) for r in found.collect()) == want and want
+
+
+def test_centroids_of_two_levels_and_their_graph():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(40, 96)), 30, axis=0) + 0.2 * rng.normal(size=(1_200, 96))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = neighbours.balanced_centroids(x, 100, flat=25)
+    size = np.bincount(neighbours._nearest(x, c), minlength=len(c))
+    assert 80 <= len(c) <= 120 and size.max() <= 60
+    graph = neighbours.CentroidGraph(c, flat=25)
+    found, _ = graph.search(x, 1)
+    assert (found[:, 0] == (x @ c.T).argmax(axis=1)).mean() > 0.95
+
+
+def test_mixture_fits_and_chooses(spark):
+    """Likelihood grows with each update, and density is that of the formula."""
+    rng = np.random.default_rng(4)
+    f = np.concatenate([rng.normal(size=(300, 4)) * 0.2 + m for m in (np.zeros(4), np.full(4, 3.0), np.full(4, -3.0))]).astype(np.float32)
+    base = (np.zeros(4, np.float32), np.eye(4, dtype=np.float32))
+    likelihood = {}
+    for k in (1, 3, 30):
+        g, last = grouping._start(base, f, k), -np.inf
+        for _ in range(6):
+            p = g.log_parts(f).astype(np.float64)
+            most = p.max(axis=1, keepdims=True)
+            likelihood[k] = float((np.log(np.exp(p - most).sum(axis=1, keepdims=True)) + most).sum())
+            assert likelihood[k] > last - 1e-3 * abs(last if last > -np.inf else 1)
+            last = likelihood[k]
+            w = np.exp(p - most) / np.exp(p - most).sum(axis=1, keepdims=True)
+            g = g.update(w.sum(axis=0), w.T @ f, w.T @ (f.astype(np.float64) ** 2))
+    bic = {k: -2 * v + (k * 9 - 1) * np.log(len(f)) for k, v in likelihood.items()}
+    assert min(bic, key=bic.get) == 3
+    one = grouping.Mixture(*base, np.array([1.0]), np.array([[1.0, 0, 0, 0]]), np.full((1, 4), 2.0))
+    at = one.log_parts(np.array([[2.0, 1, 0, 0]], np.float32))[0, 0]
+    assert np.isclose(at, -0.5 * (4 * np.log(2 * np.pi * 2.0) + (1 + 1) / 2.0), atol=1e-5)
+
+
+def test_typical_members_are_the_densest(spark):
+    made = grouping.Clusters(spark.read.parquet(f"{SMALL}/points.parquet"))
+    group = {r.id: r.group_id for r in made.members().collect()}
+    dense = {r.id: r.log_density for r in made.densities().collect()}
+    found: dict = {}
+    for r in made.typical(3).orderBy("group_id", "rank").collect():
+        found.setdefault(r.group_id, []).append(r.id)
+    for g, rows in found.items():
+        assert rows == sorted((i for i in group if group[i] == g), key=lambda i: (-dense[i], i))[:3]
+    parts = made.components().collect()
+    assert sum(r.size for r in parts) == len(dense) and all(len(r.typical_ids) == min(5, r.size) for r in parts)
+
+
+def test_regions_cover_as_the_whole_pool_does(spark, monkeypatch):
+    """The least similarity of a point to its nearest chosen one, over many regions against farthest-first over all points."""
+    points = spark.read.parquet("/root/testdata/sf0.01/points.parquet")
+    ids, x = _usable(spark, "/root/testdata/sf0.01")
+
+    def radius(chosen):
+        return (x @ x[np.isin(ids, chosen)].T).max(axis=1).min()
+
+    whole = radius(ids[variety.farthest_first(x.astype(np.float32), np.array([0]), 148)])
+    monkeypatch.setattr(variety, "PART_ROWS", 64)
+    chosen = [r.id for r in variety.varied_subset(points, 0.05).collect()]
+    assert len(set(chosen)) == len(chosen) == -(-len(ids) // 20)
+    assert radius(chosen) > whole - 0.06
+
+
+def test_sample_meets_its_targets(spark):
+    """What is drawn has the plan's size and what the report says; categories have their minimum and whole share, or all there is to spare."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    made = proportions.ProportionalSample(read("points"), read("sample_targets"))
+    rows = made.sample().collect()
+    again = proportions.ProportionalSample(read("points"), read("sample_targets")).sample().collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    report = made.report().collect()
+    for plan in made.plans:
+        own = [r for r in rows if r.plan_name == plan.name]
+        assert len(own) == len({r.id for r in own}) == plan.size
+        for t in (t for t in report if t.plan_name == plan.name):
+            drawn = sum((t.source is None or r.source == t.source) and (t.layer is None or r.layer == t.layer) for r in own)
+            assert drawn == t.drawn and abs(t.actual_share - drawn / plan.size) < 1e-9
+            want = min(t.available, max(next(x["min_rows"] for x in plan.targets if x["target_id"] == t.target_id), int(t.target_share * plan.size)))
+            assert drawn >= want
+            assert t.met == (t.available >= t.needed) == (t.unmet == 0)
+
+
+def test_repair_moves_rows_within_the_size():
+    cells = [{"source": s, "layer": m, "n": n} for s, m, n in (("a", "x", 50), ("a", "y", 50), ("b", "x", 4), ("b", "y", 3))]
+    target = lambda i, s, m, share, least: {"target_id": i, "plan_name": "p", "source": s, "layer": m, "target_share": share, "min_rows": least, "sample_share": 20 / 107}
+    plan = proportions.Plan([target(1, "a", None, 0.9, 0), target(2, "b", None, 0.1, 6), target(3, None, "x", 0.5, 0), target(4, None, "y", 0.5, 0)], cells, 107)
+    drawn = plan.repaired(np.array([15, 5, 0, 0]))
+    assert drawn.sum() == 20 and drawn[2] + drawn[3] == 6 and drawn[0] + drawn[2] >= 10 and drawn[1] + drawn[3] >= 10 and (drawn <= plan.counts).all()
+    assert (plan.repaired(np.array([10, 4, 3, 3])) == [10, 4, 3, 3]).sum() >= 2
+
+
+def test_draw_follows_the_weights(spark):
+    """Rows of weight three are drawn about three times as often where few are drawn."""
+    df = spark.range(30_000).selectExpr("id", "id as seq", "case when id % 2 = 0 then 'a' else 'b' end as source", "'x' as layer")
+    targets = spark.createDataFrame([(1, "p", "a", None, 0.75, 0, 0.02), (2, "p", "b", None, 0.25, 0, 0.02)], "target_id long, plan_name string, source string, layer string, target_share double, min_rows int, sample_share double")
+    made = proportions.ProportionalSample(df, targets)
+    share = made._drawn()["p"] / 600
+    assert abs(share[0] - 0.75) < 0.06 and share.sum() == 1
+    assert [r.drawn for r in made.report().orderBy("target_id").collect()] == [450, 150]
+
+
+def _queue(spark, budget_share):
+    """The mixture as a plain loop over all copies in order of finish time."""
+    from orebody.functions.columns import source_category
+    from orebody.llm._util import unit_draw
+
+    read = lambda t: spark.read.parquet(f"{SMALL}/{t}.parquet")
+    tokens = mixing.token_counts(read("documents")).select("*", unit_draw(mixing.SEED, "doc_id").alias("u")).collect()
+    targets = {r.s: (r.target_share, r.max_repeats) for r in read("mix_targets").select(source_category().alias("s"), "target_share", "max_repeats").collect()}
+    copies = []
+    for s, (weight, repeats) in targets.items():
+        done = 0
+        for turn in range(1, repeats + 1):
+            for r in sorted((r for r in tokens if r.source == s), key=lambda r: (r.u, r.doc_id)):
+                done += r.tokens
+                copies.append((done / weight, s, turn, r.doc_id, r.tokens))
+    out, total, budget = [], 0, budget_share * sum(r.tokens for r in tokens)
+    for finish, s, turn, doc, n in sorted(copies):
+        total += n
+        if total > budget:
+            break
+        out.append((doc, s, turn, n))
+    return read, out
+
+
+@pytest.mark.parametrize("budget_share", [0.4, 0.05, 5.0])
+def test_mixture_is_the_sequential_queue(spark, budget_share):
+    read, want = _queue(spark, budget_share)
+    made = mixing.Mixture(read("documents"), read("mix_targets"), budget_share)
+    assert sorted((r.doc_id, r.source, r["pass"], r.tokens) for r in made.used.collect()) == sorted(want)
+    report = made.report().collect()
+    total = sum(w[3] for w in want)
+    for r in report:
+        assert r.used_tokens == sum(w[3] for w in want if w[1] == r.source) and abs(r.actual_share - r.used_tokens / total) < 1e-9
+
+
+def test_virtual_time_of_a_budget():
+    assert mixing.spent_at(10, [(0.5, 100.0), (0.5, 100.0)]) == 10
+    assert mixing.spent_at(10, [(0.5, 2.0), (0.5, 100.0)]) == 16
+    assert mixing.spent_at(10, [(0.5, 2.0), (0.5, 3.0)]) == float("inf")
+
+
+def _kneser_ney(texts):
+    """Perplexities by modified Kneser-Ney in plain Python, each occurrence left out of what judges it."""
+    from collections import Counter, defaultdict
+
+    from orebody.functions.text import words
+
+    docs = [words(t) for t in texts]
+    tri = Counter(tuple(d[i : i + 3]) for d in docs for i in range(len(d) - 2))
+    left2 = Counter((b, c) for _, b, c in tri)
+    left1 = Counter(c for _, c in left2)
+    d3, d2, d1 = (repetition.discounts(np.array([sum(v == i for v in n.values()) for i in (1, 2, 3, 4)])) for n in (tri, left2, left1))
+    off = lambda n, d: (0.0, *d)[min(n, 3)]
+    context2, context1 = defaultdict(list), defaultdict(list)
+    for (a, b, _), n in tri.items():
+        context2[a, b].append(n)
+    for (b, _), n in left2.items():
+        context1[b].append(n)
+    vocabulary, all_left = len(left1), sum(left1.values())
+    unseen = sum(off(n, d1) for n in left1.values()) / all_left / vocabulary
+    left_out = lambda n, d, total: (n - 1 - off(n - 1, d)) / max(total - 1, 1)
+    weight = lambda ns, d: sum(off(n, d) for n in ns) / sum(ns) if sum(ns) > 1 else 1.0
+    out = []
+    for d in docs:
+        logs = []
+        for a, b, c in (d[i : i + 3] for i in range(len(d) - 2)):
+            one = (left1[c] - off(left1[c], d1)) / all_left + unseen
+            two = left_out(left2[b, c], d2, sum(context1[b])) + weight(context1[b], d2) * one
+            logs.append(np.log(left_out(tri[a, b, c], d3, sum(context2[a, b])) + weight(context2[a, b], d3) * two))
+        out.append(float(np.exp(-np.mean(logs))) if logs else None)
+    return out
+
+
+def test_perplexity_is_kneser_ney(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+    want = dict(zip([r.doc_id for r in docs], _kneser_ney([r.text for r in docs])))
+    found = {r.doc_id: r.perplexity for r in repetition.measured(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert found.keys() == want.keys()
+    for i, p in want.items():
+        assert (p is None) == (found[i] is None) and (p is None or abs(found[i] - p) < 1e-4 * p), i
+
+
+def test_languages_are_found_from_words(spark):
+    """Labels that are wrong or missing don't decide."""
+    en, de = "the river and the stone were under the old bridge of the town", "der fluss und der stein waren unter der alten brücke in der stadt"
+    rows = [(i, f"{en if i % 2 else de} {i}", ("en" if i % 2 else "de")) for i in range(200)] + [(900, de + " 7", "en"), (901, en + " 8", None), (902, None, "en"), (903, "", "de")]
+    tokens = repetition.token_batches(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = {r.doc_id: r.lang for r in repetition.languages(tokens).collect()}
+    assert [found[i] for i in (0, 1, 900, 901, 902, 903)] == ["de", "en", "de", "en", "und", "und"]
+
+
+def test_bands_hold_the_repetitive(spark):
+    """The band is fitted on a part of the documents; of all repetitive ones at least nine in ten lie under it, and others don't."""
+    scores = repetition.measured(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).cache()
+    under = {r.doc_id for r in repetition.low_band(scores, fit_documents=400).collect()}
+    known = {r.doc_id: r.repeated_share >= 0.3 for r in scores.where("n_words >= 30").collect()}
+    repetitive = {i for i, yes in known.items() if yes}
+    assert len(repetitive) >= 20 and len(repetitive & under) >= 0.9 * len(repetitive) and len(under) < len(known)
+    plain = scores.where("repeated_share < 0.3")
+    assert repetition.low_band(plain).count() == plain.where("n_words >= 30").count()
+
+
+def test_hits_are_compared_by_words():
+    index = leakage.PassageIndex([1], [" ".join(f"w{i}" for i in range(14))])
+    assert index._contains("x " + " ".join(f"W{i}" for i in range(2, 14)) + ".", 1) and not index._contains(" ".join(f"w{i}" for i in range(11)), 1)
