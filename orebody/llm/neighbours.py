@@ -2,7 +2,7 @@
 
 Centroids are fitted on a sample of FIT_ROWS rows, or FIT_PER_LIST for each list where that is more, split
 and merged until the lists are balanced. Lists grow with the rows at LIST_ROWS rows a list, and beyond
-about six million rows with their square root, so that centroids fit into memory. Every vector is put into the list of its nearest centroid, and as a boundary vector into further lists whose centroid is
+about 100 million rows with their square root, so that centroids fit into memory. Every vector is put into the list of its nearest centroid, and as a boundary vector into further lists whose centroid is
 nearly as near and not better covered by one already taken. A query finds near centroids by best-first
 search in a graph of centroids and opens those whose distance is within a ratio of the nearest. Lists and
 queries meet in blocks of bounded size, compared by matrix products of codes. Whatever the error bound of
@@ -26,7 +26,7 @@ from orebody.workspace import materialise
 
 FIT_ROWS = 16_384
 FIT_PER_LIST = 8
-LIST_ROWS = 384
+LIST_ROWS = 1536
 LISTS_PER_ROOT = 6.5
 FLAT = 4096  # centroids up to which all are compared with all when they are fitted
 BLOCK = 4096
@@ -345,7 +345,7 @@ class VectorIndex:
 
         return rows.join(stored, "id").groupBy("list", "block", "q_block").applyInArrow(rank, "q long, c long, low double, high double")
 
-    def neighbours(self, k: int = 5, queries: DataFrame | None = None, open_lists: int = 6, ratio: float = 1.15, min_similarity: float | None = None, exact: bool = False) -> DataFrame:
+    def neighbours(self, k: int = 5, queries: DataFrame | None = None, open_lists: int = 5, ratio: float = 1.15, min_similarity: float | None = None, exact: bool = False) -> DataFrame:
         """The k most similar other points of each query id (all points if None), if given those of ``min_similarity`` or more.
 
         ``exact`` opens every list for every query: nothing is missed, and the work is queries times rows, in blocks.

@@ -458,3 +458,15 @@ def test_bands_hold_the_repetitive(spark):
 def test_hits_are_compared_by_words():
     index = leakage.PassageIndex([1], [" ".join(f"w{i}" for i in range(14))])
     assert index._contains("x " + " ".join(f"W{i}" for i in range(2, 14)) + ".", 1) and not index._contains(" ".join(f"w{i}" for i in range(11)), 1)
+
+
+def test_recall_of_pruned_lists(spark):
+    """Lists of 64 rows, so that most are pruned: nine in ten pairs of similarity 0.95 among the best five are found, and few others."""
+    d = "/root/testdata/sf0.01"
+    ids, x = _usable(spark, d)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {(min(int(ids[q]), int(ids[j])), max(int(ids[q]), int(ids[j]))) for q in range(len(ids)) for j in np.lexsort((ids, -s[q]))[:5] if s[q, j] >= 0.95}
+    index = neighbours.VectorIndex(spark.read.parquet(f"{d}/points.parquet"), list_rows=64)
+    found = {(min(r.id, r.neighbour), max(r.id, r.neighbour)) for r in index.neighbours(5, min_similarity=0.95).collect()}
+    assert index.lists > 40 and len(found & want) >= 0.9 * len(want) and len(found - want) <= 0.02 * len(found)
