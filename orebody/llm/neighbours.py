@@ -29,9 +29,9 @@ FIT_PER_LIST = 8
 LIST_ROWS = 1536
 LISTS_PER_ROOT = 6.5
 FLAT = 4096  # centroids up to which all are compared with all when they are fitted
-BLOCK = 4096
+BLOCK = 8192
 TASK_BYTES = 8_000_000
-MANY = 256
+MANY_FLOOR, MANY = 64, 256  # candidates of a query in a block, with a floor and without, beyond which they are ranked there on their vectors
 SEED = 31
 
 
@@ -221,6 +221,24 @@ def possible(s: np.ndarray, error: np.ndarray, k: int, floor) -> np.ndarray:
     return ok
 
 
+def possible_pairs(s: np.ndarray, lost_q: np.ndarray, lost_m: np.ndarray, k: int, floors: np.ndarray, differ) -> tuple[np.ndarray, ...]:
+    """(row, column, similarity, error) of ``possible`` where floors leave little, without the whole matrix of errors.
+
+    ``differ(row, column)`` tells pairs of two points from a point with itself.
+    """
+    r, c = np.nonzero(s >= (floors - (lost_q + lost_m.max(initial=0)) * np.float32(1.05) - np.float32(2e-5))[:, None])
+    value, error = s[r, c], (lost_q[r] + lost_m[c]) * np.float32(1.05) + np.float32(1e-5)
+    keep = (value + error >= floors[r]) & differ(r, c)
+    r, c, value, error = r[keep], c[keep], value[keep], error[keep]
+    order = np.lexsort((error - value, r))
+    row = r[order]
+    at = order[np.arange(len(row)) - np.searchsorted(row, row) == k - 1]
+    least = np.full(len(s), -np.inf)
+    least[r[at]] = value[at] - error[at]
+    keep = value + error >= least[r]
+    return r[keep], c[keep], value[keep], error[keep]
+
+
 def exact_best(q_ids: np.ndarray, q: np.ndarray, m_ids: np.ndarray, m: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, cosine) of the k most similar members of each query, in double, ties to the smaller id."""
     out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -293,7 +311,7 @@ class VectorIndex:
         left = _blocks(wanted, "block", "q_block", members, asking, self.lists, BLOCK, "floor").withColumn("asks", F.lit(False))
         right = _blocks(asked, "q_block", "block", asking, members, self.lists, BLOCK, "floor").withColumn("asks", F.lit(True))
         # without a floor a block gives many rows, of which the best of all lists spare most
-        most = 4 * k if floor > -1 else MANY
+        most = MANY_FLOOR if floor > -1 else MANY
         names = ["list", "block", "q_block", "q", "c", "low", "high"]
 
         def group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -303,17 +321,23 @@ class VectorIndex:
             m, q = np.flatnonzero(~asks), np.flatnonzero(asks)
             floors = table.column("floor").to_numpy(zero_copy_only=False)
             pairs, left_over, needed = [], [], np.zeros(len(m), bool)
+            x_m = x[m]
             for i in range(0, len(q) if len(m) else 0, 512):
                 own = q[i : i + 512]
-                s = x[own] @ x[m].T
-                s[ids[own][:, None] == ids[m][None, :]] = -3
-                error = (lost[own][:, None] + lost[m][None, :]) * np.float32(1.05) + np.float32(1e-5)
-                ok = possible(s, error, k, floors[own][:, None])
-                over = ok.sum(axis=1) > most
-                needed |= ok[over].any(axis=0)
+                s, differ = x[own] @ x_m.T, lambda r, c, own=own: ids[own[r]] != ids[m[c]]
+                if floors[own].min() > -1:
+                    r, c, value, error = possible_pairs(s, lost[own], lost[m], k, floors[own].astype(np.float32), differ)
+                else:
+                    errors = (lost[own][:, None] + lost[m][None, :]) * np.float32(1.05) + np.float32(1e-5)
+                    s[ids[own][:, None] == ids[m][None, :]] = -3
+                    r, c = np.nonzero(possible(s, errors, k, floors[own][:, None]))
+                    value, error = s[r, c], errors[r, c]
+                over = np.bincount(r, minlength=len(own)) > most
+                needed[c[over[r]]] = True
                 left_over.append(ids[own[over]])
-                r, c = np.nonzero(ok & ~over[:, None])
-                pairs.append((ids[own[r]], ids[m[c]], s[r, c] - error[r, c], s[r, c] + error[r, c]))
+                few = ~over[r]
+                r, c, value, error = r[few], c[few], value[few], error[few]
+                pairs.append((ids[own[r]], ids[m[c]], value - error, value + error))
             both = [np.concatenate(v) for v in zip(*pairs)] if pairs else [np.empty(0, np.int64)] * 2 + [np.empty(0, np.float32)] * 2
             over, need = np.concatenate([np.empty(0, np.int64), *left_over]), ids[m[needed]]
             n = len(both[0]) + len(over) + len(need)
