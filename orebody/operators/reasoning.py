@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARK = "**Conclusion:**"
+SLICE_ROWS = 20_000
 
 
 class Reasoner(Protocol):
@@ -64,9 +65,15 @@ def reasoned(prompts: DataFrame, reasoner: Reasoner, parallel: int = 4) -> DataF
 
 def snippets(members: DataFrame, most: int = 8, width: int = 200, cluster: str = "cluster_id") -> DataFrame:
     """``(cluster, snippets)``: texts spread over each cluster, then in order, distinct after cutting."""
-    text = members.where("fragment is not null and fragment not in ('', 'N/A')")
+    text = members.where("fragment is not null and fragment not in ('', 'N/A')").withColumn("seq", F.coalesce("seq", F.lit(-1)))
     every = Window.partitionBy(cluster)
-    at = text.withColumn("pos", F.row_number().over(every.orderBy("seq")) - 1).withColumn("step", F.greatest(F.lit(1), F.floor(F.count("*").over(every) / 24)))
+    # places are counted by slices of seq, so that no task orders a whole cluster
+    sizes = text.groupBy(cluster).agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    text = text.join(sizes, cluster).withColumn("slice", F.floor((F.col("seq") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.ceil(F.col("n") / SLICE_ROWS)))
+    before = text.groupBy(cluster, "slice").agg(F.count("*").alias("k"))
+    before = before.select(cluster, "slice", F.coalesce(F.sum("k").over(every.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy(cluster, "slice").orderBy("seq", "id"))
+    at = text.join(before, [cluster, "slice"]).withColumn("pos", F.col("base") + inside - 1).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / 24)))
     short = F.when(F.length("fragment") > width, F.concat(F.left("fragment", F.lit(width)), F.lit("..."))).otherwise(F.col("fragment"))
     at = at.select(cluster, short.alias("t"), (F.col("pos") % F.col("step") != 0).alias("later"), "pos")
     best = at.groupBy(cluster, "t").agg(F.min(F.struct("later", "pos")).alias("o"))

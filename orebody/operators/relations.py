@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebody.functions.vectors import bridge_support, cosine, link_type
+from orebody.functions.vectors import bridge_support, dot, link_type, normalised
+from orebody.workspace import materialise
 
 BRIDGE, MOAT = 0.3, 0.1
+BLOCK = 512
 
 
 def cluster_pairs(clusters: DataFrame, centroid: str = "centroid", cluster: str = "cluster_id") -> DataFrame:
     """``(cluster_a, cluster_b, similarity)`` of all pairs a < b, one row a cluster on either side.
 
-    Every pair is asked for, so this is quadratic in clusters by definition, not in points; rows are
-    compared in blocks of clusters, each pair of blocks a task.
+    Every pair is asked for, so this is quadratic in clusters by definition, not in points. Centroids are
+    scaled to length one once; blocks of about BLOCK clusters are compared with each other by matrix
+    products, each pair of blocks once. Null, empty and all-zero centroids, and those of other lengths, have
+    similarity 0.
     """
-    blocks = 32
-    rows = clusters.select(F.col(cluster).alias("c"), F.col(centroid).alias("v")).withColumn("g", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = rows.select(F.col("c").alias("cluster_a"), F.col("v").alias("va"), F.col("g").alias("ga"), every.alias("gb"))
-    b = rows.select(F.col("c").alias("cluster_b"), F.col("v").alias("vb"), F.col("g").alias("gb"), every.alias("ga"))
-    return a.join(b, ["ga", "gb"]).where("cluster_a < cluster_b").select("cluster_a", "cluster_b", cosine("va", "vb").alias("similarity"))
+    kind = dict(clusters.dtypes)[cluster]
+    rows = materialise(clusters.select(F.col(cluster).alias("c"), normalised(F.coalesce(F.col(centroid), F.array())).alias("v")).where("c is not null"), "centroids")
+    blocks = max(1, math.ceil(rows.count() / BLOCK))
+    placed = rows.withColumn("g", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    sides = placed.select("c", "v", "g", every).select(F.least("g", "o").alias("ga"), F.greatest("g", "o").alias("gb"), (F.col("g") <= F.col("o")).alias("first"), (F.col("g") == F.col("o")).alias("both"), "c", "v")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, vectors = table.column("c").to_numpy(), table.column("v").to_pylist()
+        first, both = (table.column(n).to_numpy(zero_copy_only=False).astype(bool) for n in ("first", "both"))
+        a, b = np.flatnonzero(first), np.flatnonzero(~first | both)
+        length = np.array([len(v) for v in vectors])
+        similarity = np.zeros((len(a), len(b)))
+        for n in np.unique(length[length > 0]):
+            i, j = np.flatnonzero(length[a] == n), np.flatnonzero(length[b] == n)
+            if len(i) and len(j):
+                x, y = (np.array([vectors[k] for k in side]) for side in (a[i], b[j]))
+                similarity[np.ix_(i, j)] = np.nan_to_num(x.astype(np.float64)) @ np.nan_to_num(y.astype(np.float64)).T
+        p, q = np.nonzero(ids[a][:, None] < ids[b][None, :] if both.any() else ids[a][:, None] != ids[b][None, :])
+        low, high = np.minimum(ids[a][p], ids[b][q]), np.maximum(ids[a][p], ids[b][q])
+        return pa.table({"cluster_a": low, "cluster_b": high, "similarity": similarity[p, q]})
+
+    return sides.groupBy("ga", "gb").applyInArrow(compare, f"cluster_a {kind}, cluster_b {kind}, similarity double")
 
 
 def bridges(pairs: DataFrame) -> DataFrame:
@@ -41,8 +66,9 @@ def sample_links(bridge: DataFrame, members: DataFrame, per_side: int = 50, most
     """
     first = Window.partitionBy("cluster_id").orderBy("id")
     m = members.select("cluster_id", "id", F.col(vector).alias("v")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_side).drop("r")
+    m = materialise(m.withColumn("v", normalised("v")), "sides")  # scaled once, not once a pair
     a, b = (m.select(F.col("cluster_id").alias(f"cluster_{x}"), F.col("id").alias(f"chunk_{x}_id"), F.col("v").alias(f"v{x}")) for x in "ab")
-    pairs = bridge.select("cluster_a", "cluster_b").join(a, "cluster_a").join(b, "cluster_b").withColumn("similarity", cosine("va", "vb")).drop("va", "vb")
+    pairs = bridge.select("cluster_a", "cluster_b").join(a, "cluster_a").join(b, "cluster_b").withColumn("similarity", F.coalesce(F.when(F.size("va") == F.size("vb"), dot("va", "vb")), F.lit(0.0))).drop("va", "vb")
     w = Window.partitionBy("cluster_a", "cluster_b").orderBy(F.desc("similarity"), "chunk_a_id", "chunk_b_id")
     ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     return ranked.select("cluster_a", "cluster_b", "rank", "chunk_a_id", "chunk_b_id", "similarity")

@@ -543,7 +543,7 @@ _LONG = "select cluster_id, id, embedding, unnest(embedding)::double as x, unnes
 _CENTROIDS = f"select cluster_id, list(value order by pos) as centroid from (select cluster_id, pos, avg(x) as value from ({_LONG}) group by all) group by cluster_id"
 _HITS = "len(list_filter(sample_links, lambda l: l.similarity >= 0.7))"
 _SOME = _HITS.replace("0.7", str(SUPPORT))
-_LINKED = "(select sample_links from bridges union all select null)"
+_LINKED = "(select sample_links from bridges union all (select null from bridges limit 1))"
 _SUPPORT = "case when sample_links is null or len(sample_links) = 0 then 'no_chunk_evidence' when {0} = 0 then 'semantic_only' when {0} = 1 then 'weak_topological' when {0} <= 3 then 'moderate_topological' else 'strong_topological' end as support"
 _CHECK = "count(*) as total, coalesce(sum(case when {0} > 0 then 1 else 0 end), 0)::bigint as supported, coalesce(sum(case when {0} > 0 then 0 else 1 end), 0)::bigint as semantic_only"
 _UNIT = f"select id, embedding::double[] as e, sqrt({_DOT.format('embedding', 'embedding')}) as m, source, layer, embedding from ({_ROWS}) where {_USABLE}"
@@ -643,8 +643,8 @@ select id, {_CUT.format('f', 500)} as fragment, source, layer, run_id from (sele
     "s_settings": "select * from (values ('90s', 90.0::double), ('5m', 300.0), ('1h30m', 5400.0), ('250ms', 0.25)) as t(text, seconds)",
     "sample_dispatch": f"""
 with r as (select source, count(*) as n from ({_ROWS}) group by source), t as (select sum(n)::bigint as n, count(*) as k from r)
-select 'random' as strategy, 400 as size, 400::bigint as rows union all select 'stratified', 400, (select sum(least(r.n, 400 // t.k))::bigint from r, t)
-union all select 'proportional', 400, (select sum(least(r.n, floor(r.n * 400 / t.n + 0.5)))::bigint from r, t) union all select 'no such name', 7, 7 union all select 'random', 0, (select n from t)
+select 'random' as strategy, 400 as size, (select least(400, n)::bigint from t) as rows union all select 'stratified', 400, (select case when max(t.n) <= 400 then max(t.n) else sum(least(r.n, 400 // t.k)) end::bigint from r, t)
+union all select 'proportional', 400, (select case when max(t.n) <= 400 then max(t.n) else sum(least(r.n, floor(r.n * 400 / t.n + 0.5))) end::bigint from r, t) union all select 'no such name', 7, 7 union all select 'random', 0, (select n from t)
 """,
     "sample_capped": f"select id from ({_ROWS}) order by {_order()} limit 1000",
     "sample_diverse": f"""

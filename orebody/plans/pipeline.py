@@ -19,7 +19,7 @@ from orebody.operators.sampling import capped, random_sample, sample
 from orebody.sources.batches import RunBatches
 from orebody.sources.payload import ledger, normalise_payload, read_payloads, read_points, stamp, unprocessed
 from orebody.sources.settings import RunConfig, interval_seconds
-from orebody.workspace import materialise
+from orebody.workspace import materialise, released
 
 
 def chosen(points: DataFrame, config: RunConfig) -> DataFrame:
@@ -84,15 +84,16 @@ def run_once(spark: SparkSession, config: RunConfig) -> Run:
         points = unprocessed(points, ledger(spark, stamps))
     batches = RunBatches(spark, run_id)
     try:
-        batches.store(0, points)
-        taken = batches.load()
-        made = analyse(taken, config)
-        folder = made.write(f"{config.output_dir}/{run_id}")
-        made.write_json(f"{folder}/report.json", config.source, run_id)
-        store_findings(made.findings, f"{config.output_dir}/findings", run_id, made.members)
-        done = chosen(taken, config).select("id") if config.sample_size else taken.select("id")
-        stamp(done, stamps, run_id)
-        return Run(run_id, folder, done.distinct().count())
+        with released():
+            batches.store(0, points)
+            taken = batches.load()
+            made = analyse(taken, config)
+            folder = made.write(f"{config.output_dir}/{run_id}")
+            made.write_json(f"{folder}/report.json", config.source, run_id)
+            store_findings(made.findings, f"{config.output_dir}/findings", run_id, made.members)
+            done = chosen(taken, config).select("id") if config.sample_size else taken.select("id")
+            stamp(done, stamps, run_id)
+            return Run(run_id, folder, done.distinct().count())
     finally:
         batches.delete()
 

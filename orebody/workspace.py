@@ -12,6 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def released():
+    """Tables and paths made inside are removed at the end; for jobs that return nothing lazy, in sessions that live long."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for spark, path in _made[before:]:
+            remove(spark, path)
+        del _made[before:]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back; types and order of columns stay."""
     spark = df.sparkSession
