@@ -40,13 +40,6 @@ def hash_sample(df: DataFrame, rows: int, want: int, seed: int) -> DataFrame:
     return df if rows <= want else df.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) < F.lit(int(want / rows * (1 << 40))))
 
 
-def matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column as a float32 matrix."""
-    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    n = len(column)
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(n, -1) if n else np.empty((0, DIM), np.float32)
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, in double."""
     x = x.astype(np.float64)
