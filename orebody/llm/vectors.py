@@ -44,6 +44,8 @@ def raw_rows(column, width: int) -> np.ndarray:
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
     if not len(column):
         return np.empty((0, width), np.uint8)
+    if column.type != pa.binary():
+        column = column.cast(pa.binary())
     start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
     return np.frombuffer(column.buffers()[2], np.uint8)[start : start + len(column) * width].reshape(-1, width)
 
