@@ -101,10 +101,11 @@ class CentroidGraph:
         self.near = near
         self.entries = np.random.default_rng(SEED).choice(k, min(k, 2 * math.isqrt(k) + 1), replace=False)
 
-    def search(self, q: np.ndarray, want: int, width: int = 24, hops: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, want: int, width: int = 24) -> tuple[np.ndarray, np.ndarray]:
         """The ``want`` most similar centroids found for each row, most similar first; missing ones have similarity -2."""
         n, k = len(q), len(self.c)
         width = max(width, want)
+        hops = max(12, want)
         seen = np.zeros((n, k), bool)
         start = q @ self.c[self.entries].T
         top = np.argsort(-start, axis=1)[:, : min(4, start.shape[1])]

@@ -116,18 +116,15 @@ for _name in ("p7_found", "p7_report"):
     ORACLES[_name] = ORACLES[_name].replace("{leaked}", _LEAKED)
 
 
-ALL = 2**31
-
-
 def p6_found(spark, d):
     return neighbours.similar_pairs(table(spark, d, "points")).select("chunk_a_id", "chunk_b_id")
 
 
 def p6_links(spark, d):
-    """The 5 most similar of every 50th id, over all rows; the ratio alone decides how many lists are opened."""
+    """The 5 most similar of every 50th id, over all rows."""
     points = table(spark, d, "points")
     asked = points.where("id % 50 = 0").select("id").distinct()
-    found = neighbours.VectorIndex(points, copies=4, copy_ratio=1.2).neighbours(5, asked, open_lists=ALL, ratio=1.18)
+    found = neighbours.VectorIndex(points, copies=4, copy_ratio=1.2).neighbours(5, asked, open_lists=64, ratio=1.18)
     return found.select("id", F.col("neighbour").alias("linked_id"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
