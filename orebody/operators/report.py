@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebody.workspace import materialise
+
 WITH_MEMBERS = ("cluster_analysis", "bridge_analysis", "density_anomaly", "coherence_anomaly")
 SORTS = ("coherence", "density", "size", "cluster_id")
 
@@ -78,6 +80,18 @@ def listed(clusters: DataFrame, by: str = "coherence", descending: bool = True,
     return clusters.orderBy(F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(), "cluster_id")
 
 
+def with_places(ordered: DataFrame) -> DataFrame:
+    """``ordered`` (a sorted table) with ``place`` of each row from 1; sorted parts are counted, no task holds all rows."""
+    rows = materialise(ordered.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}), "listed")
+    starts, before = [], 0
+    for part, n in sorted((r[0], r[1]) for r in rows.groupBy("__p").count().collect()):  # a row a partition
+        starts.append((part, before))
+        before += n
+    starts = ordered.sparkSession.createDataFrame(starts, "__p int, __start long")
+    within = F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "__p").withColumn("place", (F.col("__start") + within + 1).cast("int")).drop("__p", "__i", "__start")
+
+
 def titled(df: DataFrame, clusters: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Add ``title``: the cluster's label, or # and its id."""
     names = clusters.select(F.col("cluster_id").alias("__c"), F.col("label").alias("__l"))

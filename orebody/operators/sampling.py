@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from orebody.workspace import materialise
 
 POOL = 15_000
-STRATEGIES = ("random", "stratified", "proportional", "diverse", "temporal")
 
 
 def order_key(seed: int = 42, key: str = "id"):

@@ -348,10 +348,10 @@ def q_search(spark, d):
 
 
 def q_listed(spark, d):
+    """Clusters with an unusual density, and the place of each in the list."""
     clusters = _clusters(spark, d)
-    rows = report.listed(clusters, "density", False, anomalies.unusual_density(clusters, *ODD[1:3])).select("cluster_id", "density")
-    # the order is part of the result: place of each row as listed
-    return spark.createDataFrame([(i + 1, r.cluster_id, r.density) for i, r in enumerate(rows.collect())], "place int, cluster_id int, density double")
+    found = report.with_places(report.listed(clusters, "density", False, anomalies.unusual_density(clusters, *ODD[1:3])))
+    return found.select("place", "cluster_id", "density")
 
 
 def _told(spark, d):

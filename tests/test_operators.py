@@ -10,15 +10,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebody.__main__ import arguments, main, settings
+from orebody import workspace
 from orebody.functions.text import words
 from orebody.functions.vectors import cosine, normalised
+from orebody.operators import reasoning, relations
 from orebody.operators.anomalies import COLUMNS
 from orebody.operators.cluster import centroids, dbscan, pca_reduce
 from orebody.operators.components import connected_components
 from orebody.operators.current import latest_rows
 from orebody.operators.incremental import MerkleStore, _prefix, build_tree, changed_leaves, due_points, due_rows, with_leaf
 from orebody.operators.reasoning import OfflineReasoner, conclusion
-from orebody.operators.report import Report, export, finding_cluster, listed, search
+from orebody.operators.report import Report, export, finding_cluster, listed, search, with_places
 from orebody.operators.sampling import diverse_sample, order_key, sample
 from orebody.operators.taxonomy import classify
 from orebody.plans.pipeline import analyse, run_once, watch
@@ -367,6 +369,42 @@ def test_classifier_without_text(spark):
     assert [(r.topic, r.mode, r.posture, round(r.confidence, 4), r["__judged"]) for r in rows] == [("general", "unknown", "unknown", 0, "kept")] * 2 + [("consciousness_philosophy", "unknown", "unknown", 0.3333, "kept")]
 
 
+def test_pairs_of_clusters_in_blocks(spark, monkeypatch):
+    """Every pair once over several blocks; vectors that are null, empty, all zero or of another length have similarity 0."""
+    monkeypatch.setattr(relations, "BLOCK", 3)
+    x = np.random.default_rng(6).normal(size=(9, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, None), (21, []), (22, [0.0] * 4), (23, [1.0]), (None, [1.0] * 4)]
+    found = {(r.cluster_a, r.cluster_b): r.similarity for r in relations.cluster_pairs(spark.createDataFrame(rows, "cluster_id int, centroid array<double>")).collect()}
+    ids = [*range(9), 20, 21, 22, 23]
+    assert len(found) == len(ids) * (len(ids) - 1) // 2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for (a, b), s in found.items():
+        assert a < b and abs(s - (unit[a] @ unit[b] if b < 9 else 0)) < 1e-12
+    assert relations.cluster_pairs(spark.createDataFrame([], "cluster_id int, centroid array<double>")).count() == 0
+
+
+def test_snippets_in_slices(spark, monkeypatch):
+    """Slices of three rows give what one slice gives."""
+    rows = [(c, i, i * i % 97, f"text {i % 40}" if i % 9 else "N/A") for c in (1, 2) for i in range(90)] + [(3, 1, None, "x" * 300), (3, 2, 5, None)]
+    df = spark.createDataFrame(rows, "cluster_id int, id long, seq long, fragment string")
+    whole = {r.cluster_id: r.snippets for r in reasoning.snippets(df).collect()}
+    monkeypatch.setattr(reasoning, "SLICE_ROWS", 3)
+    assert {r.cluster_id: r.snippets for r in reasoning.snippets(df).collect()} == whole and whole[3] == ["x" * 200 + "..."] and len(whole[1]) == 8
+
+
+def test_tables_of_a_job_are_released(spark):
+    with workspace.released():
+        path = workspace.materialise(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_places_of_a_sorted_table(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("id", "(id * 7919) % 1000 as v")
+    found = {r.id: r.place for r in with_places(df.orderBy("v")).collect()}
+    assert found == {i: (i * 7919) % 1000 + 1 for i in range(1000)}
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([("Cluster 4: x", [9], "a **Conclusion:** **One** thing. Two."), ("Moat: 2 ↔ 3", [9], "no"), ("other", [9], "b. c"), ("other", [], "")], "subject string, clusters array<int>, chain string")
     rows = df.select(finding_cluster().alias("c"), conclusion("chain").alias("l")).collect()
