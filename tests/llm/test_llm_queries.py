@@ -1,11 +1,14 @@
 """Each query against SQL, on the smallest tables, on empty ones, and on tables full of odd rows."""
 
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from orebody.llm import grouping, leakage, mixing, neardup, neighbours, proportions, queries, repetition, variety
+from orebody.llm import grouping, leakage, mixing, neardup, neighbours, proportions, queries, repetition, variety, vectors
+from orebody.operators import components
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = ("points", "documents", "eval_items", "sample_targets", "mix_targets")
@@ -252,6 +255,54 @@ def test_exact_groups_are_those_of_sql(spark, sql):
     assert sorted((r.group_id, r.id) for r in found.collect()) == want and want
 
 
+def _block(x, roots=None):
+    """All rows of ``x`` as one block in which each asks and is a member."""
+    n = len(x)
+    root = np.full(n, grouping.NONE, "<i8") if roots is None else np.asarray(roots, "<i8")
+    code = vectors.binary(np.concatenate([vectors.encode(x / np.linalg.norm(x, axis=1, keepdims=True)), root.view(np.uint8).reshape(n, 8)], axis=1))
+    return pa.table({"asks": np.ones(n, bool), "member": np.ones(n, bool), "id": np.arange(n) + 10, "code": code}).to_batches()
+
+
+def _joined_rows(rows, n):
+    a, b = (np.concatenate([r.column(i).to_numpy() for r in rows]) - 10 for i in (0, 1))
+    return components.forest(n, a, b)
+
+
+@pytest.mark.parametrize("noise", (0.03, 0.051))
+def test_a_dense_block_takes_little_memory(noise):
+    """Nearly all of 8.4 million pairs are similar, or too close to call."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=96)
+    x = centre / np.linalg.norm(centre) + noise * rng.normal(size=(4_096, 96))
+    block = _block(x)
+    tracemalloc.start()
+    try:
+        found = list(grouping._comparison(0.8)(iter(block)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200e6 and not _joined_rows(found, len(x)).any()
+
+
+def test_blocks_in_parts_lose_no_pair():
+    """With a few pairs held at once: surely similar rows are joined, and of the other pairs none that is similar is left out."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(30, 96)), 20, axis=0) + 0.5 * rng.normal(size=(600, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argwhere(x @ x.T >= 0.8)
+    for held in (50, 5_000, grouping.HELD):
+        found = list(grouping._comparison(0.8, held)(iter(_block(x))))
+        sure = [r.filter(r.column(2)) for r in found]
+        a, b = (np.concatenate([r.column(i).to_numpy() for r in sure]) - 10 for i in (0, 1))
+        label = components.forest(len(x), a, b)
+        want = components.forest(len(x), *near.T)
+        assert (want[label] == want).all()
+        maybe = {(int(u) - 10, int(v) - 10) for r in found for u, v, s in zip(*(c.to_pylist() for c in r.columns)) if not s}
+        assert all(label[i] == label[j] or (i, j) in maybe for i, j in near.tolist() if i < j) and maybe
+    roots = np.arange(600) // 20 * 20 + 10
+    assert (_joined_rows([r.filter(r.column(2)) for r in grouping._comparison(0.8)(iter(_block(x, roots)))], len(x)) == np.arange(len(x))).all()
+
+
 def test_centroids_of_two_levels_and_their_graph():
     rng = np.random.default_rng(2)
     x = np.repeat(rng.normal(size=(40, 96)), 30, axis=0) + 0.2 * rng.normal(size=(1_200, 96))
