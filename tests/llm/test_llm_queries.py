@@ -506,6 +506,13 @@ def test_bands_hold_the_repetitive(spark):
     assert repetition.low_band(plain).count() == plain.where("n_words >= 30").count()
 
 
+def test_the_band_holds_repetitive_documents_that_a_sample_would_miss(spark):
+    """Of 60,000 documents one in 4,000 is repetitive, each more perplexing than the one before."""
+    scores = spark.range(60_000).selectExpr("id as doc_id", "'en' as lang", "100L as n_words", "if(id % 4000 = 7, 0.5D, 0.0D) as repeated_share", "exp(if(id % 4000 = 7, id / 4000, id % 100 / 50D)) as perplexity")
+    found = {r.doc_id for r in repetition.low_band(scores).where("repeated_share >= 0.3").collect()}
+    assert found == set(range(7, 60_000, 4_000))
+
+
 def test_hits_are_compared_by_words():
     index = leakage.PassageIndex([1], [" ".join(f"w{i}" for i in range(14))])
     assert index._contains("x " + " ".join(f"W{i}" for i in range(2, 14)) + ".", 1) and not index._contains(" ".join(f"w{i}" for i in range(11)), 1)
