@@ -303,6 +303,34 @@ def test_blocks_in_parts_lose_no_pair():
     assert (_joined_rows([r.filter(r.column(2)) for r in grouping._comparison(0.8)(iter(_block(x, roots)))], len(x)) == np.arange(len(x))).all()
 
 
+def test_many_components_are_looked_at_in_part():
+    """Of 4,096 components a row looks at a third at most, and its best is among them; few components are all looked at."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(64, 32)).repeat(64, axis=0) + 0.3 * rng.normal(size=(4_096, 32))
+    f = (centre[:, None] + 0.1 * rng.normal(size=(4_096, 4, 32))).reshape(-1, 32).astype(np.float32)
+    base = (np.zeros(32, np.float32), np.eye(32, dtype=np.float32))
+    powers = grouping._powers(f[::16])
+    g = grouping.Mixture(*base, np.full(4_096, 1 / 4_096), centre, np.full(centre.shape, 0.02))
+    whole, part = grouping.Nearby(g, flat=4_096), grouping.Nearby(g)
+    looked = [sum(len(r) * len(m) for r, m, _ in n.blocks(powers)) / len(powers) for n in (whole, part)]
+    assert looked[0] == 4_096 and looked[1] < 1_400
+    (a, x), (b, y) = whole.best(powers, 4), part.best(powers, 4)
+    assert np.mean(np.take_along_axis(a, x.argmax(axis=1)[:, None], 1) == np.take_along_axis(b, y.argmax(axis=1)[:, None], 1)) > 0.99
+    (s, p), (t, q) = whole.expected(powers), part.expected(powers)
+    assert abs(p - q) < 1e-3 * abs(p) and abs(s - t).sum() < 1e-2 * abs(s).sum()
+    few = grouping.Mixture(*base, np.full(3, 1 / 3), centre[:3], np.full((3, 32), 0.02))
+    assert np.allclose(grouping.Nearby(few).expected(powers)[0][:, -1].sum(), len(powers), rtol=1e-5)
+
+
+def test_groups_of_components_give_the_groups_of_sql(spark, sql, monkeypatch):
+    """A mixture of which each row looks at a part only: hardly a row of the SQL is lost."""
+    monkeypatch.setattr(grouping.Nearby.__init__, "__defaults__", (4, 2))
+    want = set(sql.execute(queries.ORACLES["p3_found"]).fetchall())
+    made = grouping.Clusters(spark.read.parquet(f"{SMALL}/points.parquet"))
+    found = {(r.group_id, r.id) for r in made.members().collect()}
+    assert len(made.mixture.weight) > 8 and len(found & want) >= 0.98 * len(want) and len(found - want) <= 0.02 * len(want)
+
+
 def test_centroids_of_two_levels_and_their_graph():
     rng = np.random.default_rng(2)
     x = np.repeat(rng.normal(size=(40, 96)), 30, axis=0) + 0.2 * rng.normal(size=(1_200, 96))
