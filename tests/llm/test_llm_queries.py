@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orebody.llm import grouping, leakage, mixing, neardup, neighbours, proportions, queries, repetition, variety, vectors
 from orebody.operators import components
@@ -331,6 +332,22 @@ def test_groups_of_components_give_the_groups_of_sql(spark, sql, monkeypatch):
     assert len(made.mixture.weight) > 8 and len(found & want) >= 0.98 * len(want) and len(found - want) <= 0.02 * len(want)
 
 
+def test_blocks_of_a_split_component_meet_once(spark, sql, monkeypatch):
+    """Blocks of 64 rows, so that components are split: fewer products than of all asking rows and members, and the rows of the SQL."""
+    made, in_blocks = [], grouping.in_blocks
+
+    def kept(sides, *rest):
+        made.append(sides.groupBy("list", "block", "q_block").agg(F.sum(F.col("asks").cast("long")).alias("a"), F.sum(F.col("member").cast("long")).alias("m")).agg(F.sum(F.col("a") * F.col("m"))).first()[0])
+        each = sides.select("list", "id", "asks").groupBy("list", "id").agg(F.max("asks").alias("asks")).groupBy("list")
+        made.append(each.agg(F.count("*").alias("m"), F.sum(F.col("asks").cast("long")).alias("a")).agg(F.sum(F.col("a") * F.col("m"))).first()[0])
+        return in_blocks(sides, *rest)
+
+    monkeypatch.setattr(grouping, "CELL_ROWS", 64)
+    monkeypatch.setattr(grouping, "in_blocks", kept)
+    found = {(r.group_id, r.id) for r in grouping.Clusters(spark.read.parquet(f"{SMALL}/points.parquet")).members().collect()}
+    assert found == set(sql.execute(queries.ORACLES["p3_found"]).fetchall()) and made[0] < 0.75 * made[1]
+
+
 def test_centroids_of_two_levels_and_their_graph():
     rng = np.random.default_rng(2)
     x = np.repeat(rng.normal(size=(40, 96)), 30, axis=0) + 0.2 * rng.normal(size=(1_200, 96))
