@@ -13,7 +13,7 @@ from orebody.__main__ import arguments, main, settings
 from orebody import workspace
 from orebody.functions.text import words
 from orebody.functions.vectors import cosine, normalised
-from orebody.operators import reasoning, relations
+from orebody.operators import cluster, reasoning, relations
 from orebody.operators.anomalies import COLUMNS
 from orebody.operators.cluster import centroids, dbscan, pca_reduce
 from orebody.operators.components import connected_components
@@ -64,6 +64,36 @@ def test_dbscan_is_the_sequential_one(spark, eps, min_pts):
     assert [found[i] for i in range(180)] == sequential_dbscan(x, eps, min_pts)
 
 
+@pytest.mark.parametrize("eps", [0.1, 0.3])
+def test_edges_of_scattered_rows(spark, monkeypatch, eps):
+    """Rows near to nothing aren't sent to most cells: stored vectors stay in proportion; all pairs are found."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    x[::10] = x[1::10] + 0.3 * x[::10]  # pairs among scattered rows
+    x[:600] = np.repeat(x[:4], 150, axis=0) + 0.4 * x[:600]  # dense places
+    x[600:610], x[610] = x[:10] * 2, 0
+    x = x.astype(np.float32)
+    stored = []
+    keep = cluster.materialise
+
+    def noted(df, name, **options):
+        out = keep(df, name, **options)
+        if "v" in out.columns:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "materialise", noted)
+    monkeypatch.setattr(cluster, "FAR_BLOCK", 2500, raising=False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    found = {(r.s, r.t): r.distance for r in cluster.epsilon_edges(df, eps).collect()}
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-12)
+    d = 1 - u @ u.T
+    s, t = np.nonzero(np.triu(d <= eps, 1))
+    assert set(found) == set(zip(s.tolist(), t.tolist()))
+    assert np.allclose([found[p] for p in zip(s.tolist(), t.tolist())], np.clip(d[s, t], 0, 2), atol=1e-9)
+    assert sum(stored) <= 2 * len(x)
+
+
 def test_dbscan_of_nothing(spark):
     assert dbscan(spark.createDataFrame([], "id long, embedding array<double>")).count() == 0
 
